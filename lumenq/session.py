@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -27,6 +28,11 @@ def get_session(app: str = "lumenq", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+@functools.cache
+def _local_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lumenq-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, which every executor of a cluster can reach.
 
@@ -36,8 +42,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lumenq-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -119,7 +119,7 @@ class Sink:
             rows.filter("_id is not null").select("_id").write.mode("overwrite").parquet(f"{self.path}/seen/batch={n}")
             rows = rows.drop("_id")
             # sorted by app, so that row groups prune on it without a folder for each app
-            rows.withColumn("day", F.to_date("occurred_at")).sortWithinPartitions("type", "day", "app_id").write.mode("overwrite").partitionBy("type", "day").parquet(f"{self.path}/rows/batch={n}")
+            rows.withColumn("day", F.to_date("occurred_at")).hint("rebalance", "type", "day").sortWithinPartitions("type", "day", "app_id").write.mode("overwrite").partitionBy("type", "day").parquet(f"{self.path}/rows/batch={n}")
             for name, delta, fold in (("issues", issue_delta(rows.filter("type = 'error'")), fold_issues), ("sessions", session_delta(rows), fold_sessions)):
                 old = self._snapshot(spark, name, n - 1)
                 (delta if old is None else fold(old, delta)).write.mode("overwrite").parquet(f"{self.path}/{name}/batch={n}")
