@@ -12,13 +12,19 @@ def claim(existing: DataFrame, requests: DataFrame) -> DataFrame:
     that is an alias, an alias that is a target, or an alias of itself would chain, and is refused.
     """
     known = existing.select("app_id", "alias_id", F.col("distinct_id").alias("_now"))
+    aliases = existing.select("app_id", F.col("alias_id").alias("distinct_id"), F.lit(True).alias("_to_alias")).distinct()
+    targets = existing.select("app_id", F.col("distinct_id").alias("alias_id"), F.lit(True).alias("_is_target")).distinct()
     w = Window.partitionBy("app_id", "alias_id").orderBy("seq")
-    r = requests.withColumn("_first", F.first("distinct_id").over(w)).withColumn("_n", F.row_number().over(w)).join(known, ["app_id", "alias_id"], "left")
-    taken = F.coalesce("_now", "_first")
-    aliases = existing.select("app_id", "alias_id").unionByName(requests.select("app_id", "alias_id")).distinct().select("app_id", F.col("alias_id").alias("distinct_id"), F.lit(True).alias("_to_alias"))
-    targets = existing.select("app_id", "distinct_id").distinct().select("app_id", F.col("distinct_id").alias("alias_id"), F.lit(True).alias("_is_target"))
-    r = r.join(aliases, ["app_id", "distinct_id"], "left").join(targets, ["app_id", "alias_id"], "left")
-    outcome = F.when(F.col("_to_alias") | F.col("_is_target"), "chain").when(F.col("distinct_id") != taken, "conflict").when(F.col("_now").isNotNull() | (F.col("_n") > 1), "repeat").otherwise("fresh")
+    r = requests.withColumns({"_first": F.first("distinct_id").over(w), "_n": F.row_number().over(w)})
+    r = r.join(known, ["app_id", "alias_id"], "left").join(aliases, ["app_id", "distinct_id"], "left").join(targets, ["app_id", "alias_id"], "left")
+    bad = F.coalesce(F.col("_to_alias"), F.lit(False)) | F.coalesce(F.col("_is_target"), F.lit(False)) | (F.col("alias_id") == F.col("distinct_id"))
+    r = r.withColumn("_bad", bad)
+    good = r.filter("not _bad")  # of this batch, an earlier request counts as well
+    as_alias = good.groupBy("app_id", F.col("alias_id").alias("distinct_id")).agg(F.min("seq").alias("_alias_seq"))
+    as_target = good.groupBy("app_id", F.col("distinct_id").alias("alias_id")).agg(F.min("seq").alias("_target_seq"))
+    r = r.join(as_alias, ["app_id", "distinct_id"], "left").join(as_target, ["app_id", "alias_id"], "left")
+    chain = F.col("_bad") | (F.col("_alias_seq") < F.col("seq")) | (F.col("_target_seq") < F.col("seq"))
+    outcome = F.when(chain, "chain").when(F.col("distinct_id") != F.coalesce("_now", "_first"), "conflict").when(F.col("_now").isNotNull() | (F.col("_n") > 1), "repeat").otherwise("fresh")
     return r.select("app_id", "alias_id", "distinct_id", "seq", outcome.alias("outcome"))
 
 
