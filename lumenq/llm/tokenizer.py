@@ -218,6 +218,8 @@ class Merger:
 
     def lookup(self, slices: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all slices one after another, ids per slice)."""
+        if not slices:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.learn(slices)
         if self._arrays is None:
             self.starts, self.lens, self.pool = ([np.concatenate(x)] for x in (self.starts, self.lens, self.pool))
@@ -225,8 +227,6 @@ class Merger:
         starts, lens, pool = self._arrays
         i = np.fromiter(map(self.at.__getitem__, slices), np.int64, len(slices))
         n = lens[i]
-        if not len(n):
-            return np.zeros(0, np.int32), n
         offset = np.repeat(starts[i] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return pool[offset], n
 
