@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_UUID = r"^(urn:uuid:)?\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\}?$"
+_UUID = r"^(?i:urn:uuid:)?\{?(?![0-]+\}?$)[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\}?$"
 _SHIFT = "9223372036854775808BD"
 _WIDTH = "100000000000000000000BD"
 _LAST_US = 890_000_000_000_000_000
@@ -14,14 +14,22 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def is_uuid(c: str | Column) -> Column:
+    """Whether a string is a UUID other than the nil one, in any of its spellings; null for null."""
+    return col(c).rlike(_UUID)
+
+
+def uuid_bytes(c: str | Column) -> Column:
+    """The 16 bytes of a string that ``is_uuid``."""
+    return F.unhex(F.right(F.translate(col(c), "-{}", ""), F.lit(32)))
+
+
 def uuid_key(c: str | Column) -> Column:
     """The 16 bytes of a UUID in any of its spellings (case, hyphens, braces, ``urn:uuid:``).
 
     Null for null, empty and malformed strings and for the nil UUID: these identify nothing.
     """
-    s = F.lower(F.trim(col(c)))
-    digits = F.right(F.translate(s, "-{}", ""), F.lit(32))
-    return F.when(s.rlike(_UUID) & (digits != "0" * 32), F.unhex(digits))
+    return F.when(is_uuid(c), uuid_bytes(c))
 
 
 def blank_to_null(c: str | Column) -> Column:

@@ -8,27 +8,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumenq.functions.ids import col, packed_order, uuid_key
+from lumenq.functions.ids import packed_order
 
 
-def first_deliveries(df: DataFrame, ident: Column, received: str = "received_at", key: str = "delivery_id") -> DataFrame:
+def first_deliveries(df: DataFrame, ident: Column, received: str = "received_at", key: str = "delivery_id", valid: Column | None = None) -> DataFrame:
     """(ident, first_key, copies): per identifier the key of its first row by (received, key).
 
-    Rows whose identifier is null are not in the result. A null ``received`` sorts last; ``key`` must be a
+    Rows whose identifier is null are not in the result; ``valid`` says the same by a cheaper test, if there is one,
+    since the optimizer would compute ``ident`` twice, for the filter and for its value. A null ``received`` sorts last; ``key`` must be a
     non-null bigint, unique per delivery (rows that repeat a key are the same delivery).
     """
-    rows = df.select(ident.alias("ident"), F.col(key).alias("k"), packed_order(F.unix_micros(received), F.col(key)).alias("o"))
-    return rows.filter("ident is not null").groupBy("ident").agg(F.min_by("k", "o").alias("first_key"), F.count(F.lit(1)).alias("copies"))
+    rows = df.filter(ident.isNotNull() if valid is None else valid)
+    rows = rows.select(ident.alias("ident"), F.col(key).alias("k"), packed_order(F.unix_micros(received), F.col(key)).alias("o"))
+    return rows.groupBy("ident").agg(F.min_by("k", "o").alias("first_key"), F.count(F.lit(1)).alias("copies"))
 
 
-def removed_deliveries(df: DataFrame, ident: Column, received: str = "received_at", key: str = "delivery_id") -> DataFrame:
+def removed_deliveries(df: DataFrame, ident: Column, received: str = "received_at", key: str = "delivery_id", valid: Column | None = None) -> DataFrame:
     """(key) of every row with an identifier that is not the identifier's first delivery.
 
     The surplus rows are found by an anti-join on the delivery key, which is unique, and not on the identifier,
     of which one may hold a third of all rows: no task gets more than its share.
     """
-    first = first_deliveries(df, ident, received, key).select(F.col("first_key").alias(key))
-    return df.filter(ident.isNotNull()).select(key).join(first, key, "left_anti")
+    first = first_deliveries(df, ident, received, key, valid).select(F.col("first_key").alias(key))
+    return df.filter(ident.isNotNull() if valid is None else valid).select(key).join(first, key, "left_anti")
 
 
 def keep_first(df: DataFrame, ident: Column, received: str = "received_at", key: str = "delivery_id") -> DataFrame:
@@ -41,7 +43,3 @@ def keep_first(df: DataFrame, ident: Column, received: str = "received_at", key:
     rows = df.select(ident.alias("i"), whole.alias("row"), F.struct(F.col(received).isNull(), F.col(received), F.col(key)).alias("o"))
     kept = rows.filter("i is not null").groupBy("i").agg(F.min_by("row", "o").alias("row"))
     return kept.select("row").unionByName(rows.filter("i is null").select("row")).select("row.*")
-
-
-def message_id(c: str | Column = "event_id") -> Column:
-    return uuid_key(col(c))

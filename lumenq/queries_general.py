@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenq.functions.ids import uuid_key
+from lumenq.functions.ids import is_uuid, uuid_bytes, uuid_key
 from lumenq.operators import dedupe, features, late, sessions, skew
 from lumenq.sources.tables import table
 
@@ -88,7 +88,7 @@ def p5_features(spark: SparkSession, d: str) -> DataFrame:
 # ---- p7: messages delivered more than once
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    legs = [dedupe.removed_deliveries(table(spark, d, t), uuid_key("event_id")).select(F.lit(t).alias("src"), "delivery_id") for t in ("js", "node")]
+    legs = [dedupe.removed_deliveries(table(spark, d, t), uuid_bytes("event_id"), valid=is_uuid("event_id")).select(F.lit(t).alias("src"), "delivery_id") for t in ("js", "node")]
     return legs[0].unionByName(legs[1])
 
 
@@ -101,7 +101,7 @@ def p7_kept(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_hours, p2_versions, p3_found, p3_sessions, p4_found, p4_keys, p4_issues, p5_found, p5_types, p5_features, p7_found, p7_kept)}
 
-_UUID = "case when regexp_full_match(lower(trim(event_id)), '(urn:uuid:)?\\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\\}?') then nullif(right(replace(replace(replace(lower(trim(event_id)), '-', ''), '{', ''), '}', ''), 32), repeat('0', 32)) end"
+_UUID = "case when regexp_full_match(lower(event_id), '(urn:uuid:)?\\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\\}?') then nullif(right(replace(replace(replace(lower(event_id), '-', ''), '{', ''), '}', ''), 32), repeat('0', 32)) end"
 
 _MESSAGES = f"""
 with keyed as (select delivery_id, app_id, epoch_us(timestamp) as t, epoch_us(received_at) as r, coalesce({_UUID}, 'row ' || delivery_id) as u from node where timestamp is not null),
