@@ -45,17 +45,15 @@ class Lateness:
 def first_arrivals(df: DataFrame, ident: Column, group: list[str], time: str = "timestamp", received: str = "received_at", key: str = "delivery_id") -> DataFrame:
     """One row per message: (key, time_us, received_us, *group) of its first arrival by (received, key).
 
-    A row without identifier is its own message. Rows with a null ``time`` are left out before copies are compared;
+    ``ident`` is binary of 9 bytes or more; a row without is its own message. Rows with a null ``time`` are left out before copies are compared;
     a message whose copies all lack a time is in no period. A null ``received`` counts as arriving last of all.
     """
-    us = F.unix_micros(F.col(time))
-    rows = df.filter(F.col(time).isNotNull()).select(ident.alias("ident"), packed_order(F.unix_micros(F.col(received)), F.col(key)).alias("o"), us.alias("time_us"), *group)
-    value = F.struct("time_us", *group) if group else F.struct("time_us")
+    own = F.unhex(F.hex(F.col(key)))  # 8 bytes at most: no identifier of 16 bytes is equal to it
+    rows = df.filter(F.col(time).isNotNull()).select(F.coalesce(ident, own).alias("ident"), packed_order(F.unix_micros(F.col(received)), F.col(key)).alias("o"), F.unix_micros(F.col(time)).alias("time_us"), *group)
+    by = rows.groupBy("ident")
     # without group columns all buffers are fixed-width and this is a hash aggregate
-    once = rows.filter("ident is not null").groupBy("ident")
-    once = once.agg(F.min("o").alias("o"), F.min_by(value, "o").alias("v")).select("o", "v.*") if group else once.agg(F.min("o").alias("o"), F.min_by("time_us", "o").alias("time_us")).drop("ident")
-    both = once.select("o", "time_us", *group).unionByName(rows.filter("ident is null").select("o", "time_us", *group))
-    return both.select(packed_key(F.col("o")).alias(key), "time_us", F.coalesce(packed_us(F.col("o")), F.lit(1 << 62)).alias("received_us"), *group)
+    once = by.agg(F.min("o").alias("o"), F.min_by(F.struct("time_us", *group), "o").alias("v")).select("o", "v.*") if group else by.agg(F.min("o").alias("o"), F.min_by("time_us", "o").alias("time_us"))
+    return once.select(packed_key(F.col("o")).alias(key), "time_us", F.coalesce(packed_us(F.col("o")), F.lit(1 << 62)).alias("received_us"), *group)
 
 
 def classify(messages: DataFrame, policy: Lateness = Lateness()) -> DataFrame:
