@@ -64,6 +64,12 @@ class Lexicon:
         s, m = self.starts.get(word, (0, 0))
         return None if s + m < LEAST else s < 0.02 * (s + m)
 
+    def only_inner(self, word: str) -> bool:
+        """Whether a word is frequent and never begins a block, as a weekday or a surname; the names of things, which
+        begin sentences now and then, are not."""
+        s, m = self.starts.get(word, (0, 0))
+        return s == 0 and m >= 20 * LEAST
+
 
 def blocks(text: str) -> list[tuple[int, int]]:
     """Spans between blank lines, outside fenced code, without white space at the ends."""
@@ -325,7 +331,7 @@ class Splitter:
             return True
         if small or sign.isdigit():
             return False
-        return word in self.doc.starts or not lex.inner(word)
+        return word in self.doc.starts or not lex.only_inner(word)
 
     def names(self, word: str) -> bool:
         """Whether a capitalised word after an ambiguous full stop is a name or noun that needs no sentence start."""
