@@ -10,6 +10,7 @@ ends a sentence at a space between Thai letters.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections import Counter
@@ -30,14 +31,15 @@ CLOSERS = set("".join(PAIRS.values())) | set("*_")
 OPENERS = set(PAIRS) | set("¿¡*_#-–—•")
 QUOTED_ON = "とっのはがをにでも"  # Japanese particles that carry a quotation on into its sentence
 
-_RUN = re.compile(f"[{re.escape(MARKS)}]+")
+_RUN = re.compile(rf"(?:[{re.escape(MARKS.replace('.', ''))}]|\.(?![0-9A-Za-z_/]))[{re.escape(MARKS)}]*")  # no full stop within a word
 _PAIRED = re.compile("[" + re.escape("".join(set(PAIRS) | (CLOSERS - set("*_")))) + "]")
 _THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎])")
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
 _ITEM = re.compile(r"\s*(?:#{1,6}(?=\s)|[-*•+‣◦·–—](?=\s)|\(?\d{1,4}[.)](?=\s))\s*")
 _TOKEN = re.compile(r"\S+")
+_STOP = re.compile(r"[^\s.]\.([,;])?(?=\s|\Z)")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿々]")
-_STRIP_L = "".join(OPENERS) + "".join(CLOSERS) + ","
+_STRIP_L = "".join(OPENERS | CLOSERS) + ","
 _STRIP_R = "".join(CLOSERS) + "".join(OPENERS) + MARKS + ",:："
 
 #: Lexicon entries must make up this share of the corpus's tokens, which bounds their number by its inverse.
@@ -97,10 +99,11 @@ def blocks(text: str) -> list[tuple[int, int]]:
 def enclosed(text: str, a: int, z: int) -> list[tuple[int, int]]:
     """Outermost closed quotations and brackets of a block, as (opening, closing) positions."""
     stack: list[int] = []
+    wait: Counter = Counter()  # openings on the stack by what closes them, so that no search is in vain
     found: list[tuple[int, int]] = []
     for m in _PAIRED.finditer(text, a, z):
         i, c = m.start(), m.group()
-        close = next((k for k in range(len(stack) - 1, -1, -1) if c in PAIRS[text[stack[k]]]), -1)
+        close = next(k for k in range(len(stack) - 1, -1, -1) if c in PAIRS[text[stack[k]]]) if wait[c] else -1
         if c in "’‘" and close >= 0 and i + 1 < z and text[i + 1].isalnum():
             continue  # an apostrophe
         if c == '"':
@@ -109,9 +112,12 @@ def enclosed(text: str, a: int, z: int) -> list[tuple[int, int]]:
                 continue
         if close >= 0:
             found.append((stack[close], i))
+            for o in stack[close:]:
+                wait.subtract(PAIRS[text[o]])
             del stack[close:]
         elif c in PAIRS and not (c == "‘" and i > a and text[i - 1].isalnum()):
             stack.append(i)
+            wait.update(PAIRS[c])
     found.sort()
     out: list[tuple[int, int]] = []
     for x in found:
@@ -159,35 +165,86 @@ def first_sign(text: str, i: int, z: int) -> str:
     return text[i] if i < z else ""
 
 
+def short(word: str) -> bool:
+    """Whether a word can be an abbreviation by its shape."""
+    return len(word) <= 6 or "." in word
+
+
 class Evidence:
-    """Unambiguous occurrences in one document, gathered when a boundary first needs them."""
+    """Unambiguous occurrences of single words in one document, looked up when a boundary asks for them."""
 
     def __init__(self, text: str, spans: list[tuple[int, int]], lex: Lexicon):
-        self.abbreviations: set[str] = set()
-        self.words: set[str] = set()
-        self.inner: set[str] = set()
-        self.starts: set[str] = set()
-        for a, z in spans:
-            last = ""
-            for n, m in enumerate(_TOKEN.finditer(text, a, z)):
-                raw = m.group()
-                word = norm(raw.lstrip(_STRIP_L).rstrip(_STRIP_R))
-                if not word:
-                    last = raw
-                    continue
-                if last.endswith("."):
-                    before = norm(last.lstrip(_STRIP_L)[:-1])
-                    if raw[0].islower() and cased(before) and not lex.small_start(word):
-                        self.abbreviations.add(before)
-                elif last and (last[-1].isalnum() or last[-1] == ",") and word[0].isupper():
-                    self.inner.add(word)
-                elif not last:
-                    self.starts.add(word)
-                if raw[-1].isalnum():
-                    self.words.add(word)
-                if raw.endswith(".,") or raw.endswith(".;"):
-                    self.abbreviations.add(norm(raw.lstrip(_STRIP_L)[:-2]))
-                last = raw
+        self.text, self.spans, self.lex = text, spans, lex
+        self.at = [a for a, _ in spans]
+        self.known: dict[tuple[str, str], bool] = {}
+        self.heads: set[str] | None = None
+
+    def places(self, found: str) -> Iterator[tuple[int, int, int]]:
+        """(start, block's start, block's end) of each occurrence that only opening marks part from white space."""
+        text, i = self.text, self.text.find(found)
+        while i >= 0:
+            k = bisect.bisect_right(self.at, i) - 1
+            if k >= 0 and i < self.spans[k][1]:
+                a, z = self.spans[k]
+                j = i - 1
+                while j >= a and text[j] in _STRIP_L:
+                    j -= 1
+                if j < a or text[j].isspace():
+                    yield i, a, z
+            i = text.find(found, i + 1)
+
+    def asked(self, what: str, word: str, answer) -> bool:
+        got = self.known.get((what, word))
+        if got is None:
+            got = self.known[what, word] = answer(word)
+        return got
+
+    def abbreviation(self, word: str) -> bool:
+        """With its full stop it stands before a small letter or a comma."""
+        return self.asked("a", word, self._abbreviation)
+
+    def _abbreviation(self, word: str) -> bool:
+        text = self.text
+        for i, _, z in self.places(word + "."):
+            e = i + len(word) + 1
+            if text[e : e + 1] in (",", ";") and (e + 1 >= z or text[e + 1].isspace()):
+                return True
+            if e < z and text[e].isspace():
+                t = e
+                while t < z and text[t].isspace():
+                    t += 1
+                if text[t].islower() and cased(word) and not self.lex.small_start(word_at(text, t, z)):
+                    return True
+        return False
+
+    def word(self, word: str) -> bool:
+        """It stands without a full stop, too."""
+        return self.asked("w", word, lambda w: any(i + len(w) >= z or self.text[i + len(w)].isspace() for i, _, z in self.places(w)))
+
+    def inner(self, word: str) -> bool:
+        """It stands within a sentence, after a word or a comma."""
+        return self.asked("i", word, self._inner)
+
+    def _inner(self, word: str) -> bool:
+        text = self.text
+        for i, a, z in self.places(word):
+            e = i + len(word)
+            if e < z and wordy(text[e]):
+                continue
+            j = i - 1
+            while j >= a and text[j] in _STRIP_L:
+                j -= 1
+            while j >= a and text[j].isspace():
+                j -= 1
+            if j >= a and (text[j] == "," or wordy(text[j])):
+                return True
+        return False
+
+    def start(self, word: str) -> bool:
+        """It begins a block."""
+        if self.heads is None:
+            self.heads = {word_at(self.text, m.end() if (m := _ITEM.match(self.text, a, z)) else a, z) for a, z in self.spans}
+        return word in self.heads
 
 
 class Splitter:
@@ -236,7 +293,11 @@ class Splitter:
             if self.ends(at, i, j, e, z, opened):
                 cuts.append(e)
                 at = e
-        cuts += [m.start() for m in _THAI_GAP.finditer(text, body, z) if not any(o < m.start() < c for o, c in shut)]
+        opens = [o for o, _ in shut]
+        for m in _THAI_GAP.finditer(text, body, z):
+            k = bisect.bisect_right(opens, m.start()) - 1
+            if k < 0 or shut[k][1] < m.start():
+                cuts.append(m.start())
         out, at = [], a
         for c in [*sorted(set(cuts)), z]:
             s, e = at, c
@@ -317,13 +378,13 @@ class Splitter:
                 return kind == MAY_END and not sign.isdigit() and not self.names(word) and (starter or not small)
             if kind is None:
                 kind = MAY_END if sign.islower() else None
-        if w in self.doc.abbreviations and kind is None and w not in self.doc.words:
+        if kind is None and short(w) and self.doc.abbreviation(w) and not self.doc.word(w):
             kind = MAY_END
-        if kind is MAY_END and len(letters) > 3 and w.isalpha() and w in self.doc.words and w not in self.doc.abbreviations:
+        if kind == MAY_END and len(letters) > 3 and w.isalpha() and self.doc.word(w) and not self.doc.abbreviation(w):
             kind = None
         if kind is None:
             if small and not starter and cased(w):
-                return w in self.doc.words and w not in self.doc.abbreviations
+                return not short(w) or self.doc.word(w) and not self.doc.abbreviation(w)
             return True
         if kind == NEVER:
             return False
@@ -331,14 +392,14 @@ class Splitter:
             return True
         if small or sign.isdigit():
             return False
-        return word in self.doc.starts or not lex.only_inner(word)
+        return self.doc.start(word) or not lex.only_inner(word)
 
     def names(self, word: str) -> bool:
         """Whether a capitalised word after an ambiguous full stop is a name or noun that needs no sentence start."""
         known = self.lex.inner(word)
-        if word in self.doc.starts:
+        if self.doc.start(word):
             return False
-        if word in self.doc.inner and known is not False and self.lex.abbreviations.get(word) != NEVER:
+        if word and known is not False and self.doc.inner(word) and self.lex.abbreviations.get(word) != NEVER:
             return True
         return bool(known)
 
@@ -365,72 +426,105 @@ class Splitter:
         return 3 * g >= sum(map(str.isalpha, part)) and g > 0
 
 
-def tally(text: str, out: Counter) -> None:
-    """Add a document's unambiguous occurrences: of words before full stops, and of words by position.
+class Tally:
+    """Counts of unambiguous occurrences: of words before full stops, and of words by position.
 
     Keys: ("w", word, how): how a word with a full stop goes on: e at a block's end, u capital or caseless, d digit,
-    c comma. ("p", word, next): before a small letter. ("t", word, s or m): a word at a block's start or within.
+    c comma. ("p", word, next): before a small letter. ("t", word, s or m): a word at a block's start or elsewhere.
     """
-    for a, z in blocks(text):
-        item = _ITEM.match(text, a, z)
-        body = item.end() if item else a
-        shut = enclosed(text, a, z) if _PAIRED.search(text, a, z) else []
-        k, last = 0, ""
-        for m in _TOKEN.finditer(text, body, z):
-            i, raw = m.start(), m.group()
-            while k < len(shut) and shut[k][1] < i:
-                k += 1
-            inside = k < len(shut) and shut[k][0] < i <= shut[k][1]
+
+    def __init__(self):
+        self.tokens: Counter = Counter()  # as they stand, made words of when all are counted
+        self.heads: Counter = Counter()
+        self.stops: Counter = Counter()
+
+    def __len__(self) -> int:
+        return len(self.tokens) + len(self.stops)
+
+    def add(self, text: str) -> None:
+        for a, z in blocks(text):
+            item = _ITEM.match(text, a, z)
+            body = item.end() if item else a
+            self.tokens.update(text[body:z].split())
+            self.heads[word_at(text, body, z)] += 1
+            shut, k = None, 0
+            for m in _STOP.finditer(text, body, z):
+                i = m.start() + 1
+                before = self.before(text, body, i)
+                if not before:
+                    continue
+                if m[1]:
+                    self.stops["w", before, "c"] += 1
+                    continue
+                t = i + 1
+                while t < z and text[t].isspace():
+                    t += 1
+                if t >= z:
+                    self.stops["w", before, "e"] += 1
+                    continue
+                if shut is None:
+                    shut = enclosed(text, a, z) if _PAIRED.search(text, a, z) else []
+                while k < len(shut) and shut[k][1] < t:
+                    k += 1
+                if k < len(shut) and shut[k][0] < t:
+                    continue
+                sign = first_sign(text, t, z)
+                if sign.islower():
+                    self.stops["p", before, word_at(text, t, z)[:40]] += 1
+                else:
+                    self.stops["w", before, "d" if sign.isdigit() else "u"] += 1
+
+    @staticmethod
+    def before(text: str, a: int, i: int) -> str:
+        """The word before the full stop at ``i`` if it is of at most 12 characters, else nothing."""
+        low = max(a, i - 16)
+        head = text[low:i]
+        cut = max(map(head.rfind, " \n\t\r\xa0\u202f\u3000"))
+        if cut < 0 and low > a:
+            return ""
+        word = norm(head[cut + 1 :].lstrip(_STRIP_L))
+        return word if 0 < len(word) <= 12 and wordy(word[-1]) else ""
+
+    def counts(self) -> Counter:
+        out = Counter(self.stops)
+        for raw, n in self.tokens.items():
             word = norm(raw.lstrip(_STRIP_L).rstrip(_STRIP_R))
             if word and len(word) <= 40:
-                if not last:
-                    out["t", word, "s"] += 1
-                else:
-                    out["t", word, "m"] += 1
-                if last.endswith(".") and not last.endswith("..") and not inside:
-                    before = norm(last.lstrip(_STRIP_L)[:-1])
-                    if 0 < len(before) <= 12 and wordy(before[-1]):
-                        sign = first_sign(raw, 0, len(raw)) or " "
-                        if sign.islower():
-                            out["p", before, word] += 1
-                        else:
-                            out["w", before, "d" if sign.isdigit() else "u"] += 1
-            if len(raw) > 2 and raw[-2:] in (".,", ".;", ".)", ".:") and wordy(raw[-3]):
-                out["w", norm(raw.lstrip(_STRIP_L)[:-2])[:13], "c" if raw[-1] != ")" else "x"] += 1
-            last = raw
-        if last.endswith(".") and not last.endswith("..") and len(last) <= 14:
-            w = norm(last.lstrip(_STRIP_L)[:-1])
-            if w and wordy(w[-1]):
-                out["w", w, "e"] += 1
+                out["t", word, "m"] += n
+        for word, n in self.heads.items():
+            if word and len(word) <= 40:
+                out["t", word, "s"] += n
+                out["t", word, "m"] -= n
+        return out
 
 
 _TALLY = pa.schema([("kind", pa.string()), ("x", pa.string()), ("y", pa.string()), ("n", pa.int64())])
 
 
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out: Counter = Counter()
+    tally = Tally()
 
-    def flush() -> pa.RecordBatch:
-        kind, x, y = zip(*out)
-        b = pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x), pa.array(y), pa.array(list(out.values()), pa.int64())], schema=_TALLY)
-        out.clear()
-        return b
+    def rows() -> pa.RecordBatch:
+        counts = tally.counts()
+        kind, x, y = zip(*counts)
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x), pa.array(y), pa.array(list(counts.values()), pa.int64())], schema=_TALLY)
 
     for b in batches:
         for t in b.column(0).to_pylist():
             if t:
-                tally(t, out)
-                if len(out) > 300_000:
-                    yield flush()
-    if out:
-        yield flush()
+                tally.add(t)
+                if len(tally) > 300_000:
+                    yield rows()
+                    tally = Tally()
+    if len(tally):
+        yield rows()
 
 
 def classify(word: str, a: int, u: int, d: int, e: int) -> int | None:
     """The class of a word that stood before a full stop ``a`` times before small letters or commas, ``u`` capitals,
     ``d`` digits and ``e`` times at a block's end."""
     n = a + u + d + e
-    if not any(map(str.isalpha, word)) or (len(word) > 6 and "." not in word):
+    if not any(map(str.isalpha, word)) or not short(word):
         return None
     if e <= 0.005 * n and (a + d >= max(LEAST, 0.3 * n) or n >= 12):
         return NEVER

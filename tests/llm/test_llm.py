@@ -232,9 +232,10 @@ def test_corpus_lexicon_finds_classes(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(5)
     lex = sentences.corpus_lexicon(df)
     assert lex.abbreviations["Dr"] == sentences.NEVER and lex.abbreviations["etc"] == sentences.MAY_END and lex.small_start("npm") and "works" not in lex.abbreviations
-    counts: Counter = Counter()
+    tally = sentences.Tally()
     for t in texts:
-        sentences.tally(t or "", counts)
+        tally.add(t or "")
+    counts = tally.counts()
     assert lex.starts["However"] == (counts["t", "However", "s"], counts["t", "However", "m"])
     rows = sentences.sentences(df).collect()
     assert {r.doc_id for r in rows} == set(range(len(texts) - 2)) and sentences.sentences(df.limit(0)).count() == 0
