@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lumenq.session import written
+from lumenq.session import spread, written
 
 # Terminators by script, and paired marks.
 FULL_WIDTH = "。！？｡"
@@ -546,7 +546,7 @@ def corpus_lexicon(df: DataFrame, text: str = "text", share: float = SHARE) -> L
     Only words with at least ``share`` of the corpus's tokens are used, as the counts of rarer ones say nothing. That
     bounds what reaches the driver, and is broadcast, by 1/share words, whatever the size of the corpus.
     """
-    rows = df.select(text).mapInArrow(_tallies, "kind string, x string, y string, n bigint")
+    rows = spread(df.select(text)).mapInArrow(_tallies, "kind string, x string, y string, n bigint")
     n = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(y)
     follows = F.when(F.col("kind") == "p", F.col("y")).otherwise("")
     by = written(rows.groupBy("kind", "x", follows.alias("follows")).agg(*map(n, "eudcsm"), F.sum("n").alias("n")), "lexicon")
@@ -587,4 +587,4 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", lexicon: L
     lex = corpus_lexicon(df, text) if lexicon is None else lexicon
     rows = df.select(F.col(key).alias("c0"), F.col(text).alias("c1"))
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(_splitting(lex), f"c0 {kind}, start_char bigint, end_char bigint").withColumnRenamed("c0", key)
+    return spread(rows).mapInArrow(_splitting(lex), f"c0 {kind}, start_char bigint, end_char bigint").withColumnRenamed("c0", key)

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from lumenq.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 CHUNK = 1_000_000  # code points taken through the arrays at once
 CACHE = 400_000  # slices kept per worker
@@ -307,7 +309,7 @@ def _encoder(path: str, want: str):
 def _map(df: DataFrame, key: str, text: str, path: str, want: str, cols: list[tuple[str, str]]) -> DataFrame:
     rows = df.select(F.col(key).alias("c0"), F.col(text).alias("c1"))
     kind = rows.schema[0].dataType.simpleString()
-    out = rows.mapInArrow(_encoder(path, want), ", ".join([f"c0 {kind}", *(f"c{i + 1} {t}" for i, (_, t) in enumerate(cols))]))
+    out = spread(rows).mapInArrow(_encoder(path, want), ", ".join([f"c0 {kind}", *(f"c{i + 1} {t}" for i, (_, t) in enumerate(cols))]))
     return out.select(F.col("c0").alias(key), *[F.col(f"c{i + 1}").alias(n) for i, (n, _) in enumerate(cols)])
 
 
