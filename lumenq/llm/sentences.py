@@ -35,7 +35,7 @@ _RUN = re.compile(rf"(?:[{re.escape(MARKS.replace('.', ''))}]|\.(?![0-9A-Za-z_/]
 _PAIRED = re.compile("[" + re.escape("".join(set(PAIRS) | (CLOSERS - set("*_")))) + "]")
 _THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎])")
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
-_ITEM = re.compile(r"\s*(?:#{1,6}(?=\s)|[-*•+‣◦·–—](?=\s)|\(?\d{1,4}[.)](?=\s))\s*")
+_ITEM = re.compile(r"\s*(?:(?:#{1,6}(?=\s)|[-*•+‣◦·–—](?=\s)|\(?\d{1,4}[.)](?=\s))\s*)+")
 _TOKEN = re.compile(r"\S+")
 _STOP = re.compile(r"[^\s.]\.([,;])?(?=\s|\Z)")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿々]")
@@ -343,7 +343,7 @@ class Splitter:
         if opened >= 0:
             return self.after_quote(at, opened, e, t, z, sign, spaced)
         word = word_at(text, t, z)
-        small = sign.islower() or not (sign.isalnum() or sign in "$@.#/<>&%€£~`'+")
+        small = sign.islower() or not (sign.isalnum() or sign in "@.#/&%'" or unicodedata.category(sign)[0] == "S")
         starter = lex.small_start(word)
         if own:
             return not (spaced and sign.islower() and not starter and run[-1] not in OWN_SCRIPT)

@@ -203,6 +203,8 @@ LEX = sentences.Lexicon({"Dr": sentences.NEVER, "No": sentences.NEVER, "e.g": se
     ("Խնդիրը լուծված է։ Տես։", ["Խնդիրը լուծված է։", "Տես։"]),
     ("ችግሩ ተፈቷል። ለምን ታየ፧ አዎ።", ["ችግሩ ተፈቷል።", "ለምን ታየ፧", "አዎ።"]),
     ("1. First. Second.\n\n## Head\n\n• Item one", ["1. First.", "Second.", "## Head", "• Item one"]),
+    ("- 1. One thing. Two", ["- 1. One thing.", "Two"]),
+    ("It is ok. 🎉 Party. → Next", ["It is ok.", "🎉 Party.", "→ Next"]),
     ("A line\nwraps. Next\r\n \r\nBlock", ["A line\nwraps.", "Next", "Block"]),
     ("Before.\n```\nx. Y. z\n```\nAfter. End", ["Before.", "After.", "End"]),
     ("```\nall code. Here.", []), ("", []), (" \n\t ", []),
