@@ -37,6 +37,7 @@ _THAI_GAP = re.compile(r"(?<=[ก-ฺเ-๎])\s+(?=[ก-ฺเ-๎])")
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
 _ITEM = re.compile(r"\s*(?:(?:#{1,6}(?=\s)|[-*•+‣◦·–—](?=\s)|\(?\d{1,4}[.)](?=\s))\s*)+")
 _TOKEN = re.compile(r"\S+")
+_GAP = re.compile(r"(?>\r\n|\r|\n)[^\S\r\n]*(?>\r\n|\r|\n)\s*")
 _STOP = re.compile(r"[^\s.]\.([,;])?(?=\s|\Z)")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿々]")
 _STRIP_L = "".join(OPENERS | CLOSERS) + ","
@@ -75,6 +76,18 @@ class Lexicon:
 
 def blocks(text: str) -> list[tuple[int, int]]:
     """Spans between blank lines, outside fenced code, without white space at the ends."""
+    if "```" not in text:
+        a, z = len(text) - len(text.lstrip()), len(text.rstrip())
+        spans = []
+        for m in _GAP.finditer(text, a, z):
+            e = m.start()
+            while text[e - 1].isspace():
+                e -= 1
+            spans.append((a, e))
+            a = m.end()
+        if a < z:
+            spans.append((a, z))
+        return spans
     out, at, end, fence = [], -1, 0, False
     for m in _LINE.finditer(text):
         a, z = m.span()
