@@ -25,8 +25,8 @@ def _day(c: str):
     return F.date_format(c, "yyyy-MM-dd")
 
 
-def _p1_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "js").filter("type = 'event' and timestamp is not null")
+def _p1_pairs(spark: SparkSession, d: str, rows: str = "timestamp is not null") -> DataFrame:
+    rows = table(spark, d, "js").filter("type = 'event'").filter(rows)
     return distinct.pairs(rows, IDS, {"day": _day("timestamp"), "name": F.col("name"), "app_id": F.col("app_id")})
 
 
@@ -34,8 +34,12 @@ def p1_distinct(spark: SparkSession, d: str) -> DataFrame:
     return distinct.grouping_sets(_p1_pairs(spark, d), IDS, P1_GROUPS, P1_SETS)
 
 
-def p1_unions(spark: SparkSession, d: str) -> DataFrame:
-    """Unions of groups that no grouping set has."""
+def p1_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As p1_distinct, over all event rows: those without a client time have a null day, which is a value of its own."""
+    return distinct.grouping_sets(_p1_pairs(spark, d, "true"), IDS, P1_GROUPS, P1_SETS)
+
+
+def _p1_unions(found: DataFrame) -> DataFrame:
     day, name = F.col("day"), F.col("name")
     wanted = {
         "first week": (day >= "2023-01-01") & (day < "2023-01-08"),
@@ -45,7 +49,17 @@ def p1_unions(spark: SparkSession, d: str) -> DataFrame:
         "screens or page views on weekends": name.isin("$screen", "$pageview") & F.dayofweek(F.to_date(day)).isin(1, 7),
         "half of the apps": F.col("app_id") < "8",
     }
-    return distinct.unions(_p1_pairs(spark, d), IDS, wanted)
+    return distinct.unions(found, IDS, wanted)
+
+
+def p1_unions(spark: SparkSession, d: str) -> DataFrame:
+    """Unions of groups that no grouping set has."""
+    return _p1_unions(_p1_pairs(spark, d))
+
+
+def p1_whole_unions(spark: SparkSession, d: str) -> DataFrame:
+    """The same unions over all event rows; rows without a client time are in those that don't ask for a day."""
+    return _p1_unions(_p1_pairs(spark, d, "true"))
 
 
 def _p6_partials(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +102,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct, p1_unions, p6_percentiles, p6_checked, p8_ids, p8_offsets, p9_containers, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_distinct, p1_unions, p1_whole, p1_whole_unions, p6_percentiles, p6_checked, p8_ids, p8_offsets, p9_containers, p10_found)}
 
 _JS = "(select strftime(timestamp at time zone 'UTC', '%Y-%m-%d') as day, name, app_id, nullif(distinct_id, '') as distinct_id, nullif(session_id, '') as session_id from js where type = 'event' and timestamp is not null and (distinct_id <> '' or session_id <> ''))"
 _COUNTS = "count(distinct distinct_id) as distinct_id, count(distinct session_id) as session_id"

@@ -55,6 +55,26 @@ def test_distinct_shuffles_identifiers_by_bucket_once(spark):
     assert plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") == 3  # pairs, buckets, counts of groups
 
 
+@has_data
+def test_distinct_counts_rows_without_a_time(spark):
+    c = duckdb.connect()
+    c.execute("set timezone='UTC'")
+    src = f"(select strftime(timestamp, '%Y-%m-%d') as day, name, app_id, nullif(distinct_id, '') as d, nullif(session_id, '') as s from '{DATA}/js.parquet' where type = 'event' and (distinct_id <> '' or session_id <> ''))"
+    by = {",".join(s): ", ".join(s) for s in queries.P1_SETS if s}
+    want = {("all", *[None] * 3, *c.execute(f"select count(distinct d), count(distinct s) from {src}").fetchone())}
+    for grp, cols in by.items():
+        keys = ", ".join(g if g in grp.split(",") else "null" for g in queries.P1_GROUPS)
+        want |= {(grp, *r) for r in c.execute(f"select {keys}, count(distinct d), count(distinct s) from {src} group by {cols}").fetchall()}
+    found = queries.p1_whole(spark, DATA)
+    got = [tuple(r) for r in found.select("grp", *queries.P1_GROUPS, *queries.IDS).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert any(r[0] == "day" and r[1] is None for r in got)
+    u = {r.grp: (r.distinct_id, r.session_id) for r in queries.p1_whole_unions(spark, DATA).collect()}
+    assert u["built-in events"] == c.execute(f"select count(distinct d), count(distinct s) from {src} where starts_with(name, '$')").fetchone()
+    assert u["half of the apps"] == c.execute(f"select count(distinct d), count(distinct s) from {src} where app_id < '8'").fetchone()
+    assert u["first week"] == c.execute(f"select count(distinct d), count(distinct s) from {src} where day >= '2023-01-01' and day < '2023-01-08'").fetchone()
+
+
 # ---- p6
 
 def test_percentiles_within_bound_and_merged(spark):
