@@ -63,21 +63,24 @@ def p1_whole_unions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p6_partials(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "flutter").filter("timestamp is not null")
-    return percentiles.partial_sketches(rows, "duration_ms", {"op": F.col("op"), "http_status": F.col("http_status"), "app_id": F.col("app_id"), "day": _day("timestamp")})
+    """Rows without a time are sketched under a null day, a value of its own."""
+    return percentiles.partial_sketches(table(spark, d, "flutter"), "duration_ms", {"op": F.col("op"), "http_status": F.col("http_status"), "app_id": F.col("app_id"), "day": _day("timestamp")})
 
 
 def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.grouping_sets(_p6_partials(spark, d), P6_GROUPS, P6_SETS)
 
 
-def p6_checked(spark: SparkSession, d: str) -> DataFrame:
-    """(op, http_status, n, within): whether each percentile's true rank is within three times the stated error."""
+def _p6_within(spark: SparkSession, d: str, part: str, rows: str) -> DataFrame:
+    """(op, http_status, n, within): whether each percentile's true rank is within three times the stated error.
+
+    ``part`` and ``rows`` choose the same rows, among the partial sketches and in the table.
+    """
     by = ["op", "http_status"]
-    found = percentiles.answers(percentiles.merged(_p6_partials(spark, d), by), by)
+    found = percentiles.answers(percentiles.merged(_p6_partials(spark, d).filter(part), by), by)
     names = found.columns[3:]
     q = found.select(*[F.col(c).alias(f"q_{c}") for c in by], "n", F.array(*names).alias("q"))
-    rows = table(spark, d, "flutter").filter("timestamp is not null").select(*by, F.col("duration_ms").alias("v")).filter("abs(v) < double('infinity') and not isnan(v)")
+    rows = table(spark, d, "flutter").filter(rows).select(*by, F.col("duration_ms").alias("v")).filter("abs(v) < double('infinity') and not isnan(v)")
     j = rows.join(q, (rows.op.eqNullSafe(q.q_op)) & (rows.http_status.eqNullSafe(q.q_http_status)))
     counts = [F.count_if(F.col("v") < F.col("q")[i]).alias(f"lt{i}") for i in range(len(names))] + [F.count_if(F.col("v") <= F.col("q")[i]).alias(f"le{i}") for i in range(len(names))]
     c = j.groupBy(*by, "n").agg(*counts)
@@ -86,6 +89,16 @@ def p6_checked(spark: SparkSession, d: str) -> DataFrame:
     return c.select(*by, "n", F.forall(F.array(*ok), lambda x: x).alias("within"))
 
 
+def p6_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The partial sketches of the days, against the rows with a time."""
+    return _p6_within(spark, d, "day is not null", "timestamp is not null")
+
+
+def p6_checked_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All partial sketches, against the whole table."""
+    return _p6_within(spark, d, "true", "true")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.token_ids(table(spark, d, "documents"), path=tokenizer_file())
 
@@ -102,7 +115,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_distinct, p1_unions, p1_whole, p1_whole_unions, p6_percentiles, p6_checked, p8_ids, p8_offsets, p9_containers, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_distinct, p1_unions, p1_whole, p1_whole_unions, p6_percentiles, p6_checked, p6_checked_whole, p8_ids, p8_offsets, p9_containers, p10_found)}
 
 _JS = "(select strftime(timestamp at time zone 'UTC', '%Y-%m-%d') as day, name, app_id, nullif(distinct_id, '') as distinct_id, nullif(session_id, '') as session_id from js where type = 'event' and timestamp is not null and (distinct_id <> '' or session_id <> ''))"
 _COUNTS = "count(distinct distinct_id) as distinct_id, count(distinct session_id) as session_id"

@@ -99,6 +99,18 @@ def test_small_groups_are_exact(spark):
     assert (row.n, row.p50, row.p99) == (101, 50.0, 99.0)
 
 
+@has_data
+def test_percentiles_take_rows_without_a_time(spark):
+    src = f"(select * from '{DATA}/flutter.parquet' where isfinite(duration_ms))"
+    want = {tuple(r) for r in duckdb.sql(f"select op, http_status, count(*) from {src} group by all").fetchall()}
+    every = queries.p6_percentiles(spark, DATA).select("grp", "op", "http_status", "day", "n").collect()
+    assert {(r.op, r.http_status, r.n) for r in every if r.grp == "op,http_status"} == want
+    assert [r.n for r in every if r.grp == "all"] == [sum(n for *_, n in want)]
+    assert sum(r.n for r in every if r.grp == "op,day" and r.day is None) == duckdb.sql(f"select count(*) from {src} where timestamp is null").fetchall()[0][0] > 0
+    checked = queries.p6_checked_whole(spark, DATA).collect()
+    assert {(r.op, r.http_status, r.n) for r in checked} == want and all(r.within for r in checked)
+
+
 # ---- p8
 
 SAMPLES = ["", " ", "a", "it's we'll they've I'm you'd can't 'tis '", "''s", " 's", "'sabc'tx", "a  b", "a \n b\n\n", "　x  ", "'ll'", "a" * 500, "=" * 3000, "<|endoftext|>", "１２３ ½ ²", "\t\t'stop", "éa", "\x1c\x1d a\x85b", "مرحبا 'sال", "​b\xa0 c", "日本語のテキスト。", "ภาษาไทย ไม่มี", "👩‍👩‍👧 ok", "İ'S don'T"]
