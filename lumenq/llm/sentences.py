@@ -518,9 +518,9 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tally = Tally()
 
     def rows() -> pa.RecordBatch:
-        counts = tally.counts()
-        kind, x, y = zip(*counts)
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x), pa.array(y), pa.array(list(counts.values()), pa.int64())], schema=_TALLY)
+        counts = tally.counts()  # empty if there are tokens but no words, as in texts of marks or without spaces
+        kind, x, y = zip(*counts) if counts else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(list(counts.values()), pa.int64())], schema=_TALLY)
 
     for b in batches:
         for t in b.column(0).to_pylist():

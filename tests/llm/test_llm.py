@@ -275,6 +275,13 @@ def test_corpus_lexicon_finds_classes(spark):
     assert {r.doc_id for r in rows} == set(range(len(texts) - 2)) and sentences.sentences(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["...", "日本語" * 20, "x" * 60, "日本語" * 20 + "。" + "文" * 50 + "。"])
+def test_texts_without_words_have_sentences(spark, text):
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    spans = [(r.start_char, r.end_char) for r in sentences.sentences(df).collect()]
+    assert sorted(spans) == sentences.Splitter(sentences.Lexicon()).spans(text) and spans
+
+
 # ---- queries
 
 @has_data
