@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_UUID = r"^(?i:urn:uuid:)?\{?(?![0-]+\}?$)[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\}?$"
+_UUID = r"^(?i:urn:uuid:)?\{?(?![0-]+\}?\z)[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\}?\z"
 _SHIFT = "9223372036854775808BD"
 _WIDTH = "100000000000000000000BD"
 _LAST_US = 890_000_000_000_000_000

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from lumenq.functions.ids import packed_key, packed_order, packed_us, uuid_key
+from lumenq.functions.ids import is_uuid, packed_key, packed_order, packed_us, uuid_bytes, uuid_key
 from lumenq.operators import dedupe, features, late, sessions, skew
 
 T0 = dt.datetime(2023, 1, 2, tzinfo=dt.timezone.utc)
@@ -57,6 +57,15 @@ def test_uuid_spellings(spark):
     assert got[len(good) :] == [None] * len(bad)
 
 
+def test_a_trailing_line_feed_makes_no_identifier(spark):
+    u = "0f8fad5b-d9cb-469f-a165-70867728950e"
+    rows = [(i, t, at(i)) for i, t in enumerate([u + "\n", u.replace("0", "1") + "\n", "{" + u + "}\n", "0" * 32 + "\n", u, u.upper()])]
+    df = spark.createDataFrame(rows, "delivery_id bigint, event_id string, received_at timestamp")
+    assert [r[0] for r in dedupe.removed_deliveries(df, uuid_bytes("event_id"), valid=is_uuid("event_id")).collect()] == [5]
+    assert [r[0] for r in dedupe.removed_deliveries(df, uuid_key("event_id")).collect()] == [5]
+    assert sorted(r.delivery_id for r in dedupe.keep_first(df, uuid_key("event_id")).collect()) == [0, 1, 2, 3, 4]
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.lists(st.tuples(st.one_of(st.none(), st.integers(-(10**15), 10**16)), st.integers(-(2**63), 2**63 - 1)), min_size=1, max_size=30))
 def test_packed_order_sorts_like_its_parts(spark, pairs):
