@@ -92,14 +92,24 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return legs[0].unionByName(legs[1])
 
 
+def p7_kept_js(spark: SparkSession, d: str) -> DataFrame:
+    """What stays of js, with all its columns."""
+    return dedupe.keep_first(table(spark, d, "js"), uuid_key("event_id"))
+
+
+def p7_kept_node(spark: SparkSession, d: str) -> DataFrame:
+    """What stays of node, with all its columns."""
+    return dedupe.keep_first(table(spark, d, "node"), uuid_key("event_id"))
+
+
 def p7_kept(spark: SparkSession, d: str) -> DataFrame:
-    """What stays of both tables."""
+    """What stays of both tables, in the columns they share."""
     cols = ["delivery_id", "batch_id", "app_id", "environment_id", "type", "event_id", "name", "distinct_id", "session_id", "timestamp", "sent_at", "received_at", "release"]
     legs = [dedupe.keep_first(table(spark, d, t).select(*cols), uuid_key("event_id")).select(F.lit(t).alias("src"), "*") for t in ("js", "node")]
     return legs[0].unionByName(legs[1])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hours, p2_versions, p3_found, p3_sessions, p4_found, p4_keys, p4_issues, p5_found, p5_types, p5_features, p7_found, p7_kept)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_hours, p2_versions, p3_found, p3_sessions, p4_found, p4_keys, p4_issues, p5_found, p5_types, p5_features, p7_found, p7_kept, p7_kept_js, p7_kept_node)}
 
 _UUID = "case when regexp_full_match(lower(event_id), '(urn:uuid:)?\\{?[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}\\}?') then nullif(right(replace(replace(replace(lower(event_id), '-', ''), '{', ''), '}', ''), 32), repeat('0', 32)) end"
 

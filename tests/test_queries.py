@@ -51,6 +51,16 @@ def test_queries_without_sql_run(spark, name):
     assert entry.queries()[name](spark, DATA).count() > 0
 
 
+@pytest.mark.parametrize("src", ["js", "node"])
+def test_kept_rows_are_whole(spark, src):
+    rows = entry.queries()[f"p7_kept_{src}"](spark, DATA)
+    before = spark.read.parquet(f"{DATA}/{src}.parquet")
+    assert rows.schema.simpleString() == before.schema.simpleString()
+    text = lambda df: sorted(repr([plain(x) for x in r.values()]) for r in df.toArrow().to_pylist())
+    removed = entry.queries()["p7_found"](spark, DATA).filter(f"src = '{src}'")
+    assert text(rows) == text(before.join(removed, "delivery_id", "left_anti").select(before.columns)) and removed.count()
+
+
 def test_core_does_not_import_the_subpackage():
     for p in (ROOT / "lumenq").rglob("*.py"):
         if "llm" not in p.parts:
