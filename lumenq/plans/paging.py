@@ -19,23 +19,24 @@ COUNT_CAP = 10_000
 
 @dataclass(frozen=True)
 class Sort:
-    """A bare key sorts downwards, ``-key`` upwards. Nulls come last, ties go by ``tie``."""
+    """A bare key sorts downwards, ``-key`` upwards. Nulls come last, ties go by ``tie``, then by ``also``."""
 
     key: str
     down: bool = True
     tie: str = "id"
+    also: tuple[str, ...] = ()
 
     @staticmethod
-    def parse(text: str | None, allowed: tuple[str, ...], default: str, tie: str = "id") -> "Sort":
+    def parse(text: str | None, allowed: tuple[str, ...], default: str, tie: str = "id", also: tuple[str, ...] = ()) -> "Sort":
         name = text or default
         key = name.removeprefix("-")
         if key not in allowed:
             raise QueryError("bad_sort", f"{key}: one of {', '.join(allowed)}")
-        return Sort(key, not name.startswith("-"), tie)
+        return Sort(key, not name.startswith("-"), tie, also)
 
     def order(self) -> list[Column]:
-        c, t = F.col(self.key), F.col(self.tie)
-        return [c.desc_nulls_last(), t.desc()] if self.down else [c.asc_nulls_last(), t.asc()]
+        c, ties = F.col(self.key), [F.col(t) for t in (self.tie, *self.also)]
+        return [c.desc_nulls_last(), *[t.desc() for t in ties]] if self.down else [c.asc_nulls_last(), *[t.asc() for t in ties]]
 
 
 @dataclass(frozen=True)
@@ -43,19 +44,22 @@ class Cursor:
     key: str
     value: dt.datetime | str
     id: str
+    also: tuple[str, ...] = ()
 
     def encode(self) -> str:
         if isinstance(self.value, dt.datetime):
             v = "t:" + self.value.astimezone(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
         else:
             v = "s:" + self.value
-        return base64.urlsafe_b64encode(f"{self.key}|{self.id}|{v}".encode()).decode().rstrip("=")
+        return base64.urlsafe_b64encode("|".join((self.key, self.id, *self.also, v)).encode()).decode().rstrip("=")
 
     @staticmethod
-    def decode(text: str, key: str, temporal: bool, uuids: bool = True) -> "Cursor":
+    def decode(text: str, key: str, temporal: bool, uuids: bool = True, also: int = 0) -> "Cursor":
         try:
-            got, ident, v = base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)).decode().split("|", 2)
+            got, ident, *more, v = base64.urlsafe_b64decode(text + "=" * (-len(text) % 4)).decode().split("|", 2 + also)
             kind, v = v[:2], v[2:]
+            if len(more) != also:
+                raise ValueError(text)
         except (ValueError, binascii.Error) as e:
             raise QueryError("bad_cursor", "malformed") from e
         if uuids:
@@ -68,9 +72,9 @@ class Cursor:
         if kind not in ("t:", "s:") or (kind == "t:") != temporal:
             raise QueryError("bad_cursor", "kind")
         if not temporal:
-            return Cursor(key, v, ident)
+            return Cursor(key, v, ident, tuple(more))
         try:
-            return Cursor(key, dt.datetime.fromisoformat(v), ident)
+            return Cursor(key, dt.datetime.fromisoformat(v), ident, tuple(more))
         except ValueError as e:
             raise QueryError("bad_cursor", "timestamp") from e
 
@@ -79,9 +83,11 @@ def after(sort: Sort, cursor: Cursor) -> Column:
     """Rows behind the cursor's row in the sort's order, nulls of the key being last."""
     k, t, v, i = F.col(sort.key), F.col(sort.tie), F.lit(cursor.value), F.lit(cursor.id)
     t = t.cast("string") if sort.tie != "id" else t
-    if sort.down:
-        return (k < v) | ((k == v) & (t < i)) | k.isNull()
-    return (k > v) | ((k == v) & (t > i)) | k.isNull()
+    behind, same = (t < i if sort.down else t > i), t == i
+    for name, value in zip(sort.also, cursor.also):
+        c, x = F.col(name).cast("string"), F.lit(value)
+        behind, same = behind | (same & (c < x if sort.down else c > x)), same & (c == x)
+    return (k < v if sort.down else k > v) | ((k == v) & behind) | k.isNull()
 
 
 def page(df: DataFrame, sort: Sort, limit: int, cursor: Cursor | None = None, offset: int = 0) -> DataFrame:
@@ -114,5 +120,5 @@ class Listing:
         cursor = None
         if len(rows) == self.limit and rows[-1][self.sort.key] is not None:
             v = rows[-1][self.sort.key]
-            cursor = Cursor(self.sort.key, v if isinstance(v, (dt.datetime, str)) else str(v), str(rows[-1][self.sort.tie])).encode()
+            cursor = Cursor(self.sort.key, v if isinstance(v, (dt.datetime, str)) else str(v), str(rows[-1][self.sort.tie]), tuple(str(rows[-1][c]) for c in self.sort.also)).encode()
         return {"data": rows, "total": total["total"], "total_is_capped": total["total_is_capped"], "next_cursor": cursor, "clamped": self.clamped}

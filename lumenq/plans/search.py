@@ -42,9 +42,9 @@ def rows(df: DataFrame, resource: Resource, node: Node, now: dt.datetime, days:
 
 def listing(df: DataFrame, resource: Resource, node: Node, now: dt.datetime, sort: str | None = None, limit: int = 50, cursor: str | None = None, **kw) -> paging.Listing:
     """One page with its count; ``cursor`` continues a list in the same sort."""
-    tie = "session_id" if resource is Resource.SESSIONS else "id"
-    s = paging.Sort.parse(sort, SORTS[resource], TIME[resource], tie)
+    tie, also = ("session_id", ("app_id",)) if resource is Resource.SESSIONS else ("id", ())  # apps share session ids
+    s = paging.Sort.parse(sort, SORTS[resource], TIME[resource], tie, also)
     found, w = rows(df, resource, node, now, **kw)
     temporal = dict(found.dtypes)[s.key].startswith("timestamp")
-    c = paging.Cursor.decode(cursor, s.key, temporal, uuids=resource is Resource.ISSUES) if cursor else None
+    c = paging.Cursor.decode(cursor, s.key, temporal, uuids=resource is Resource.ISSUES, also=len(also)) if cursor else None
     return paging.Listing(paging.page(found, s, limit, c), paging.capped_count(found), w.clamped, s, limit)

@@ -179,6 +179,11 @@ def sessions_list(spark, d):
     return search.listing(views.sessions(spark, d), Resource.SESSIONS, parse(""), NOW, "events_count", 1).data.select("app_id", "session_id", "events_count")
 
 
+@query(f"select app_id, session_id, events_count from se where last_event_at >= {_S} order by events_count desc, session_id desc, app_id desc limit 50")
+def sessions_page(spark, d):
+    return search.listing(views.sessions(spark, d), Resource.SESSIONS, parse(""), NOW, "events_count").data.select("app_id", "session_id", "events_count")
+
+
 _HOT_SESSION = "(select app_id, session_id from se order by events_count + errors_count desc, session_id desc, app_id limit 1)"
 
 

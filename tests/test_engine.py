@@ -385,3 +385,20 @@ def test_breadcrumbs_attach_to_the_next_crash(spark, tmp_path):
     got = {r.crash: r.breadcrumbs for r in spark.sql("select * from crashes").collect()}
     assert got["boom"] == [f"c{i}" for i in range(20, 120)] and got["again"] == [] and got["late"] == []
     random.seed(0)
+
+
+def test_sessions_of_several_apps_page_in_total_order(spark):
+    now = dt.datetime(2023, 1, 15, tzinfo=dt.timezone.utc)
+    rows = [(app, sid, now - dt.timedelta(hours=1), n) for app in "abcde" for sid, n in (("s1", 4), ("s2", 4), ("s3", 1))]
+    df = spark.createDataFrame(rows, "app_id string, session_id string, last_event_at timestamp, events_count bigint").repartition(5)
+    for sort, down in (("events_count", True), ("-events_count", False)):
+        got, cursor = [], None
+        while True:
+            e = search.listing(df, Resource.SESSIONS, parse(""), now, sort, 2, cursor).envelope()
+            got += [(r["events_count"], r["session_id"], r["app_id"]) for r in e["data"]]
+            cursor = e["next_cursor"]
+            if not cursor:
+                break
+        assert got == sorted(((n, sid, app) for app, sid, _, n in rows), reverse=down)
+    with pytest.raises(QueryError):
+        search.listing(df, Resource.SESSIONS, parse(""), now, "events_count", 2, paging.Cursor("events_count", "4", "s1").encode())
