@@ -43,8 +43,7 @@ _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿々]")
 _STRIP_L = "".join(OPENERS | CLOSERS) + ","
 _STRIP_R = "".join(CLOSERS) + "".join(OPENERS) + MARKS + ",:："
 
-#: Lexicon entries must make up this share of the corpus's tokens, which bounds their number by its inverse.
-SHARE = 2e-6
+#: Occurrences that say something about a word, in a corpus of any size.
 LEAST = 3
 
 NEVER, MAY_END = 1, 2  # classes of words before a full stop; all others are ordinary
@@ -546,33 +545,34 @@ def classify(word: str, a: int, u: int, d: int, e: int) -> int | None:
     return MAY_END if e and a >= 2 and a >= 0.03 * n else None
 
 
-def build(starts: Iterator[tuple[str, int, int]], words: Iterator[tuple[str, int, int, int, int]], least: float) -> Lexicon:
+def build(starts: Iterator[tuple[str, int, int]], words: Iterator[tuple[str, int, int, int, int]]) -> Lexicon:
     """A lexicon of counts: (word, at a block's start, within) and (word, a, u, d, e) as ``classify`` takes them."""
-    lex = Lexicon(starts={w: (s, m) for w, s, m in starts if s + m >= least})
-    lex.abbreviations = {w: k for w, *c in words if sum(c) >= least and (k := classify(w, *c))}
+    lex = Lexicon(starts={w: (s, m) for w, s, m in starts if s + m >= LEAST})
+    lex.abbreviations = {w: k for w, *c in words if sum(c) >= LEAST and (k := classify(w, *c))}
     return lex
 
 
-def corpus_lexicon(df: DataFrame, text: str = "text", share: float = SHARE) -> Lexicon:
+def corpus_lexicon(df: DataFrame, text: str = "text") -> Lexicon:
     """Statistics over all documents, combined in each partition and then by word.
 
-    Only words with at least ``share`` of the corpus's tokens are used, as the counts of rarer ones say nothing. That
-    bounds what reaches the driver, and is broadcast, by 1/share words, whatever the size of the corpus.
+    Words of ``LEAST`` occurrences are used whatever the size of the corpus, so that a document is split no worse in a
+    larger one. What reaches the driver, and is broadcast, grows with the corpus's vocabulary; of the words before full
+    stops only those that may be abbreviations do.
     """
     rows = spread(df.select(text)).mapInArrow(_tallies, "kind string, x string, y string, n bigint")
     n = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(y)
     follows = F.when(F.col("kind") == "p", F.col("y")).otherwise("")
     by = written(rows.groupBy("kind", "x", follows.alias("follows")).agg(*map(n, "eudcsm"), F.sum("n").alias("n")), "lexicon")
-    total = by.filter("kind = 't'").agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST, total * share)
-    starts = by.filter((F.col("kind") == "t") & (F.col("s") + F.col("m") >= least)).select("x", "s", "m").toArrow()
-    first = build(zip(*(starts.column(i).to_pylist() for i in range(3))), [], least)
+    starts = by.filter((F.col("kind") == "t") & (F.col("s") + F.col("m") >= LEAST)).select("x", "s", "m").toArrow()
+    first = build(zip(*(starts.column(i).to_pylist() for i in range(3))), [])
     small = [w for w in first.starts if not w[0].isupper() and first.small_start(w)]  # a part of ``starts``
     small_df = df.sparkSession.createDataFrame(pa.table({"follows": pa.array(small, pa.string())}))
     pairs = by.filter("kind = 'p'").join(F.broadcast(small_df), "follows", "left_anti").select("x", F.col("n").alias("a"), *[F.lit(0).alias(c) for c in "ude"])
     words = by.filter("kind = 'w'").select("x", F.col("c").alias("a"), "u", "d", "e").unionByName(pairs)
-    words = words.groupBy("x").agg(*[F.sum(c).alias(c) for c in "aude"]).filter(F.col("a") + F.col("u") + F.col("d") + F.col("e") >= least).toArrow()
-    return build(zip(*(starts.column(i).to_pylist() for i in range(3))), zip(*(words.column(i).to_pylist() for i in range(5))), least)
+    words = words.groupBy("x").agg(*[F.sum(c).alias(c) for c in "aude"]).withColumn("n", F.expr("a + u + d + e"))
+    # what ``classify`` may take for abbreviations
+    words = words.filter(f"n >= {LEAST} and (e <= 0.005 * n and (a + d >= 0.3 * n or n >= 12) or e > 0 and a >= 2 and a >= 0.03 * n)").select("x", *"aude").toArrow()
+    return build(zip(*(starts.column(i).to_pylist() for i in range(3))), zip(*(words.column(i).to_pylist() for i in range(5))))
 
 
 def _splitting(lex: Lexicon):

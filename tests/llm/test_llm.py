@@ -275,6 +275,15 @@ def test_corpus_lexicon_finds_classes(spark):
     assert {r.doc_id for r in rows} == set(range(len(texts) - 2)) and sentences.sentences(df.limit(0)).count() == 0
 
 
+def test_a_larger_corpus_keeps_rare_abbreviations(spark):
+    rare = [(i, "See Mrk. Kero and qty. 4 of it, approx. all.") for i in range(6)]
+    small = spark.createDataFrame(rare, "doc_id bigint, text string")
+    more = spark.range(16).select(F.col("id").alias("doc_id"), F.repeat(F.lit("filler "), F.lit(250_000)).alias("text"))
+    few, many = sentences.corpus_lexicon(small), sentences.corpus_lexicon(small.unionByName(more))
+    assert few.abbreviations and few.abbreviations == many.abbreviations
+    assert few.starts.items() <= many.starts.items()
+
+
 @pytest.mark.parametrize("text", ["...", "日本語" * 20, "x" * 60, "日本語" * 20 + "。" + "文" * 50 + "。"])
 def test_texts_without_words_have_sentences(spark, text):
     df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
