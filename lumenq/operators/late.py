@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenq.functions.ids import packed_key, packed_order, packed_us
-from lumenq.session import shared_dir
+from lumenq.session import shared_dir, written
 
 HOUR = 3_600_000_000
 
@@ -42,8 +42,8 @@ class Lateness:
         return F.least(nxt, self.end(us) + self.cutoff)
 
 
-def first_arrivals(df: DataFrame, ident: Column, group: list[str], time: str = "timestamp", received: str = "received_at", key: str = "delivery_id") -> DataFrame:
-    """One row per message: (key, time_us, received_us, *group) of its first arrival by (received, key).
+def first_arrivals(df: DataFrame, ident: Column, group: list[str], time: str = "timestamp", received: str = "received_at", key: str = "delivery_id", named: bool = False) -> DataFrame:
+    """One row per message: (key, time_us, received_us, *group) of its first arrival by (received, key); ``named`` adds ident.
 
     ``ident`` is binary of 9 bytes or more; a row without is its own message. Rows with a null ``time`` are left out before copies are compared;
     a message whose copies all lack a time is in no period. A null ``received`` counts as arriving last of all.
@@ -52,8 +52,8 @@ def first_arrivals(df: DataFrame, ident: Column, group: list[str], time: str = "
     rows = df.filter(F.col(time).isNotNull()).select(F.coalesce(ident, own).alias("ident"), packed_order(F.unix_micros(F.col(received)), F.col(key)).alias("o"), F.unix_micros(F.col(time)).alias("time_us"), *group)
     by = rows.groupBy("ident")
     # without group columns all buffers are fixed-width and this is a hash aggregate
-    once = by.agg(F.min("o").alias("o"), F.min_by(F.struct("time_us", *group), "o").alias("v")).select("o", "v.*") if group else by.agg(F.min("o").alias("o"), F.min_by("time_us", "o").alias("time_us"))
-    return once.select(packed_key(F.col("o")).alias(key), "time_us", F.coalesce(packed_us(F.col("o")), F.lit(1 << 62)).alias("received_us"), *group)
+    once = by.agg(F.min("o").alias("o"), F.min_by(F.struct("time_us", *group), "o").alias("v")).select("ident", "o", "v.*") if group else by.agg(F.min("o").alias("o"), F.min_by("time_us", "o").alias("time_us"))
+    return once.select(packed_key(F.col("o")).alias(key), "time_us", F.coalesce(packed_us(F.col("o")), F.lit(1 << 62)).alias("received_us"), *group, *["ident"] * named)
 
 
 def classify(messages: DataFrame, policy: Lateness = Lateness()) -> DataFrame:
@@ -110,14 +110,21 @@ class LambdaViews:
         return ", ".join(f"`{g}` string" for g in self.group)
 
     def ingest(self, messages: DataFrame) -> None:
-        """``messages``: first arrivals (``first_arrivals``), each given once over all calls."""
-        rows = classify(messages, self.policy).select("delivery_id", "time_us", "received_us", *self.group, "period_us", "layer")
+        """``messages``: first arrivals (``first_arrivals``) of what came since the last call.
+
+        With their ``ident``, copies of messages of earlier calls are left out; without it, each is given once over all calls.
+        """
+        if "ident" in messages.columns:
+            messages = messages.join(self._table("log", self._log_schema()).filter("ident is not null").select("ident"), "ident", "left_anti")
+        else:
+            messages = messages.withColumn("ident", F.lit(None).cast("binary"))
+        rows = written(classify(messages, self.policy).select("delivery_id", "time_us", "received_us", *self.group, "period_us", "layer", "ident"), "arrivals")
         rows.write.mode("append").parquet(f"{self.path}/log")
         fast = self._table("log", self._log_schema()).filter("layer = 'fast'") if self.last_run is None else rows.filter("layer = 'fast'")
         fast.groupBy(*self.group, "period_us").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite" if self.last_run is None else "append").parquet(f"{self.path}/fast")
 
     def _log_schema(self) -> str:
-        return f"delivery_id bigint, time_us bigint, received_us bigint, {self._group()}, period_us bigint, layer string"
+        return f"delivery_id bigint, time_us bigint, received_us bigint, {self._group()}, period_us bigint, layer string, ident binary"
 
     def run_batch(self, now_us: int) -> None:
         """Recompute what is open at ``now_us``; periods frozen by an earlier run are copied as they are."""

@@ -142,6 +142,19 @@ def test_lambda_views_agree_with_the_one_pass_view(spark, table):
     assert all(r.frozen for r in views.view().filter(F.col("period_us") < times[-1] - 26 * late.HOUR).collect())
 
 
+def test_lambda_views_count_redelivered_messages_once(spark, table):
+    log = table.filter("timestamp is not null")
+    views = late.LambdaViews(spark, ["app_id"])
+    times = [us(s) for s in range(0, 520_000, 120_000 // 3600 * 3600)]
+    for a, b in zip(times, times[1:]):
+        came = log.filter((F.unix_micros("received_at") >= a) & (F.unix_micros("received_at") < b))
+        views.ingest(late.first_arrivals(came, uuid_key("event_id"), ["app_id"], named=True))
+        views.run_batch(b)
+    m = late.first_arrivals(log.filter(F.unix_micros("received_at") < times[-1]), uuid_key("event_id"), ["app_id"])
+    got = {(r.app_id, r.period_us): r.n for r in views.view().collect()}
+    assert got == {(r.app_id, r.period_us): r.final for r in late.final_view(m, ["app_id"]).collect() if r.final}
+
+
 def test_versions_end_at_the_final_value(table):
     m = late.first_arrivals(table, uuid_key("event_id"), ["app_id"])
     last = late.versions(m, ["app_id"]).groupBy("app_id", "period_us").agg(F.max("value").alias("v"))
