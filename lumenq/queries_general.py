@@ -15,20 +15,21 @@ def utc_day(c: str) -> Column:
 
 # ---- p2: late and out-of-order events
 
-def _node_messages(spark: SparkSession, d: str, group: list[str]) -> DataFrame:
-    return late.first_arrivals(table(spark, d, "node"), uuid_key("event_id"), group)
+def _node_views(spark: SparkSession, d: str, group: list[str]) -> late.LambdaViews:
+    """The table as it was received, week by week, through the fast and the batch layer."""
+    return late.replay(late.first_arrivals(table(spark, d, "node"), uuid_key("event_id"), group), group)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return late.late_messages(_node_messages(spark, d, []))
+    return _node_views(spark, d, []).late()
 
 
 def p2_hours(spark: SparkSession, d: str) -> DataFrame:
-    return late.final_view(_node_messages(spark, d, ["app_id"]), ["app_id"])
+    return _node_views(spark, d, ["app_id"]).summary()
 
 
 def p2_versions(spark: SparkSession, d: str) -> DataFrame:
-    return late.versions(_node_messages(spark, d, ["app_id"]), ["app_id"])
+    return _node_views(spark, d, ["app_id"]).versions()
 
 
 # ---- p3: sessions by gap

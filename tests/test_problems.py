@@ -155,6 +155,67 @@ def test_lambda_views_count_redelivered_messages_once(spark, table):
     assert got == {(r.app_id, r.period_us): r.final for r in late.final_view(m, ["app_id"]).collect() if r.final}
 
 
+def brute_view(m, group):
+    return {(*[r[g] for g in group], r.period_us): r.final for r in late.final_view(m, group).collect() if r.final}
+
+
+@pytest.mark.parametrize("group", [[], ["app_id"], ["app_id", "slot"]])
+def test_replayed_views_agree_with_one_pass(table, group):
+    m = late.first_arrivals(table.withColumn("slot", F.when(F.col("delivery_id") % 3 > 0, F.col("slot"))), uuid_key("event_id"), group).cache()
+    for every in (late.DAY // 2, 7 * late.DAY):
+        views = late.replay(m, group, every=every)
+        key = lambda df: sorted(map(repr, (sorted(r.asDict().items()) for r in df.collect())))
+        assert key(views.late()) == key(late.late_messages(m))
+        assert key(views.summary()) == key(late.final_view(m, group))
+        assert key(views.versions()) == key(late.versions(m, group))
+        assert {tuple(r[:-2]): r.n for r in views.view().select(*group, "period_us", "n", "frozen").collect()} == brute_view(m, group)
+
+
+def test_views_of_an_empty_table(table):
+    m = late.first_arrivals(table.limit(0), uuid_key("event_id"), [])
+    views = late.replay(m, [])
+    assert [views.view().count(), views.late().count(), views.summary().count(), views.versions().count()] == [0] * 4
+    views.ingest(m)
+    views.run_batch(us(0))
+    assert views.view().count() == 0
+
+
+def test_views_repeat_restart_and_redelivery(spark, table):
+    log = table.filter("timestamp is not null")
+    came = lambda a, b: late.first_arrivals(log.filter((F.unix_micros("received_at") >= us(a)) & (F.unix_micros("received_at") < us(b))), uuid_key("event_id"), [], named=True)
+    cuts = [0, 90_000, 180_000, 270_000, 400_000]
+    views = late.LambdaViews(spark, [])
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        views.ingest(came(a, b), n)
+        views.ingest(came(a, b), n)  # the same call again
+        if n:
+            views.ingest(came(cuts[n - 1], a), 100 + n)  # all of the last batch delivered again
+        views.run_batch(us(b))
+        again = late.LambdaViews(spark, [], path=views.path)  # restarted
+        assert (again.runs, again.last_run) == (views.runs, views.last_run) == (n, us(b))
+        before = sorted(map(tuple, views.view().collect()))
+        assert sorted(map(tuple, again.view().collect())) == before
+        again.runs, again.last_run = n - 1, us(a) if n else None  # the run again, as after a failure
+        again.run_batch(us(b))
+        assert sorted(map(tuple, again.view().collect())) == before
+        views = again
+    m = late.first_arrivals(log, uuid_key("event_id"), [])
+    assert {(r.period_us,): r.n for r in views.view().collect()} == brute_view(m, [])
+    got = {r.delivery_id: r.outcome for r in views.late().collect()}
+    want = {r.delivery_id: r.outcome for r in late.late_messages(m).collect()}
+    assert {k: o for k, o in want.items() if o == "dropped"}.items() <= got.items() <= want.items()
+
+
+def test_a_run_opens_only_the_folders_of_open_periods(spark):
+    rows = [(i, "x", None, "a", "e", at(t), at(r), "i", "s") for i, (t, r) in enumerate([(0, 10), (86_400, 86_410), (864_000, 864_010), (9_000_000, 864_011), (-5_000_000, 864_012), (86_400, 100_000)])]
+    m = late.first_arrivals(spark.createDataFrame(rows, SCHEMA), uuid_key("event_id"), [])
+    views = late.replay(m, [], every=late.DAY)
+    lanes = {(r.layer, r.lane) for r in views._log().select("layer", "lane").collect()}
+    day = us(0) // late.DAY
+    assert lanes == {("fast", day), ("fast", day + 1), ("batch", day + 1), ("fast", day + 10), ("fast", late.AHEAD), ("frozen", late.NONE)}
+    assert {r.period_us: r.n for r in views.view().collect()}[us(86_400)] == 2
+
+
 def test_versions_end_at_the_final_value(table):
     m = late.first_arrivals(table, uuid_key("event_id"), ["app_id"])
     last = late.versions(m, ["app_id"]).groupBy("app_id", "period_us").agg(F.max("value").alias("v"))
