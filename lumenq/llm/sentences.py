@@ -2,9 +2,9 @@
 
 A full stop is ambiguous after an abbreviation, an initial or a number. What the word before it and the word after it
 are is read off unambiguous places: first in the same document (the word stands elsewhere before a small letter or a
-comma; the next word stands elsewhere capitalised in mid-sentence), then, where the document is silent, in statistics
-of the whole corpus (a word before a full stop that never ends a block can't end a sentence; a small-lettered word
-that begins blocks can begin sentences). Marks of scripts with their own terminators decide by themselves, and Thai
+comma, or without its stop; the next word stands elsewhere capitalised in mid-sentence). Where the document is silent or
+shows both, statistics of the whole corpus tell (a word before a full stop that never ends a block can't end a sentence;
+a small-lettered word that begins blocks can begin sentences). Marks of scripts with their own terminators decide by themselves, and Thai
 ends a sentence at a space between Thai letters.
 """
 
@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lumenq.session import spread, written
+from lumenq.session import written
 
 # Terminators by script, and paired marks.
 FULL_WIDTH = "。！？｡"
@@ -38,14 +38,23 @@ _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
 _ITEM = re.compile(r"\s*(?:(?:#{1,6}(?=\s)|[-*•+‣◦·–—](?=\s)|\(?\d{1,4}[.)](?=\s))\s*)+")
 _TOKEN = re.compile(r"\S+")
 _GAP = re.compile(r"(?>\r\n|\r|\n)[^\S\r\n]*(?>\r\n|\r|\n)\s*")
-_STOP = re.compile(r"[^\s.]\.([,;])?(?=\s|\Z)")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿々]")
 _STRIP_L = "".join(OPENERS | CLOSERS) + ","
+_MARKED = frozenset(_STRIP_L)
+_OPEN = "[" + re.escape("".join(sorted(OPENERS))) + r"\s]*"
+_STOP = re.compile(rf"(?<!\S)(\S++)(?:(?<=[^\s.]\.)|(?<=[^\s.]\.[,;]))(?:(?=\s{_OPEN}(\S+))|(?=\s|\Z))")  # a token that ends in a full stop, what follows
+_SHORTENED = re.compile(r"[^\s.]\.(?:[,;](?=\s)|(?=\s[^A-Z0-9]))")  # where a stop may be followed by a small letter
+_HEAD = re.compile(rf"{_OPEN}(\S+)")
+_WITHIN = re.compile(rf"(?<=[\w,]){_OPEN.replace('*', '+')}(\w[\w\u0300-\u036f]*)")  # a word after a word or a comma
+_THAI = re.compile("[ก-๎]")
 _STRIP_R = "".join(CLOSERS) + "".join(OPENERS) + MARKS + ",:："
 
 #: Occurrences that say something about a word, in a corpus of any size.
 LEAST = 3
 
+#: Words of a lexicon that is sent to every task (some 100 bytes a word); a larger one is joined.
+MOST = 1_000_000
+
 NEVER, MAY_END = 1, 2  # classes of words before a full stop; all others are ordinary
 
 
@@ -152,11 +161,15 @@ def norm(word: str) -> str:
 
 
 def before_stop(text: str, a: int, i: int) -> str:
-    """The word that ends at ``i``, without opening marks."""
-    s = i
-    while s > a and not text[s - 1].isspace():
-        s -= 1
-    return norm(text[s:i].lstrip(_STRIP_L))
+    """The word that ends at ``i``, without opening marks, however long it is."""
+    if i == a or text[i - 1].isspace():
+        return ""
+    n = 32
+    part = text[max(a, i - n) : i].rsplit(None, 1)[-1]
+    while len(part) == n:
+        n *= 8
+        part = text[max(a, i - n) : i].rsplit(None, 1)[-1]
+    return norm(part.lstrip(_STRIP_L))
 
 
 def after_openers(text: str, i: int, z: int) -> int:
@@ -166,97 +179,85 @@ def after_openers(text: str, i: int, z: int) -> int:
     return i
 
 
+def stripped(token: str) -> str:
+    """A token without marks around it; its own signs ($, @, .) stay."""
+    return norm(token.lstrip(_STRIP_L).rstrip(_STRIP_R))
+
+
 def word_at(text: str, i: int, z: int) -> str:
-    """The word that begins at ``i``, without marks around it; its own signs ($, @, .) stay."""
+    """The word that begins at ``i``, ``stripped``."""
     m = _TOKEN.match(text, after_openers(text, i, z), z)
-    return norm(m.group().lstrip(_STRIP_L).rstrip(_STRIP_R)) if m else ""
+    return stripped(m.group()) if m else ""
 
 
-def first_sign(text: str, i: int, z: int) -> str:
-    i = after_openers(text, i, z)
-    return text[i] if i < z else ""
+def plain_shape(word: str) -> bool:
+    """The guess where neither document nor corpus tells: a word of more than six letters without a full stop within
+    is an ordinary word; a shorter one may be shortened."""
+    return len(word) > 6 and "." not in word
 
 
-def short(word: str) -> bool:
-    """Whether a word can be an abbreviation by its shape."""
-    return len(word) <= 6 or "." in word
+def proof(word: str) -> int:
+    """How many occurrences show that a word is an abbreviation: the longer, the more, without a limit."""
+    return 1 if "." in word else 1 + (len(word) - 1) // 6
 
 
 class Evidence:
-    """Unambiguous occurrences of single words in one document, looked up when a boundary asks for them."""
+    """Unambiguous occurrences of words in one document. Each kind is gathered in one pass, when it is first asked for."""
 
     def __init__(self, text: str, spans: list[tuple[int, int]], lex: Lexicon):
         self.text, self.spans, self.lex = text, spans, lex
-        self.at = [a for a, _ in spans]
-        self.known: dict[tuple[str, str], bool] = {}
-        self.heads: set[str] | None = None
-
-    def places(self, found: str) -> Iterator[tuple[int, int, int]]:
-        """(start, block's start, block's end) of each occurrence that only opening marks part from white space."""
-        text, i = self.text, self.text.find(found)
-        while i >= 0:
-            k = bisect.bisect_right(self.at, i) - 1
-            if k >= 0 and i < self.spans[k][1]:
-                a, z = self.spans[k]
-                j = i - 1
-                while j >= a and text[j] in _STRIP_L:
-                    j -= 1
-                if j < a or text[j].isspace():
-                    yield i, a, z
-            i = text.find(found, i + 1)
-
-    def asked(self, what: str, word: str, answer) -> bool:
-        got = self.known.get((what, word))
-        if got is None:
-            got = self.known[what, word] = answer(word)
-        return got
-
-    def abbreviation(self, word: str) -> bool:
-        """With its full stop it stands before a small letter or a comma."""
-        return self.asked("a", word, self._abbreviation)
-
-    def _abbreviation(self, word: str) -> bool:
-        text = self.text
-        for i, _, z in self.places(word + "."):
-            e = i + len(word) + 1
-            if text[e : e + 1] in (",", ";") and (e + 1 >= z or text[e + 1].isspace()):
-                return True
-            if e < z and text[e].isspace():
-                t = e
-                while t < z and text[t].isspace():
-                    t += 1
-                if text[t].islower() and cased(word) and not self.lex.small_start(word_at(text, t, z)):
-                    return True
-        return False
-
-    def word(self, word: str) -> bool:
-        """It stands without a full stop, too."""
-        return self.asked("w", word, lambda w: any(i + len(w) >= z or self.text[i + len(w)].isspace() for i, _, z in self.places(w)))
+        self._stops: dict[str, int] | None = None
+        self._plain: Counter | None = None
+        self._inner: set[str] | None = None
+        self._heads: set[str] | None = None
+
+    def shortened(self, word: str) -> int:
+        """How often it stands, with its full stop, before a small letter or a comma."""
+        if self._stops is None:
+            self._stops = {}
+            for a, z in self.spans if _SHORTENED.search(self.text) else ():
+                for token, after in _STOP.findall(self.text, a, z):
+                    if token[-1] == ".":
+                        if not after[:1].islower() or self.lex.small_start(stripped(after)):
+                            continue
+                        w = norm(token[:-1].lstrip(_STRIP_L))
+                        if not cased(w):
+                            continue
+                    else:
+                        w = norm(token[:-2].lstrip(_STRIP_L))
+                    self._stops[w] = self._stops.get(w, 0) + 1
+        return self._stops.get(word, 0)
+
+    def plain(self, word: str) -> int:
+        """How often it stands without a full stop, in front of white space."""
+        if self._plain is None:
+            found = Counter([w for a, z in self.spans for w in self.text[a:z].split()])
+            composed = self.text.isascii() or unicodedata.is_normalized("NFC", self.text)
+            for token in [w for w in found if w[0] in _MARKED or not composed]:
+                n = found.pop(token)
+                found[norm(token.lstrip(_STRIP_L))] += n
+            self._plain = found
+        return self._plain[word]
 
     def inner(self, word: str) -> bool:
         """It stands within a sentence, after a word or a comma."""
-        return self.asked("i", word, self._inner)
-
-    def _inner(self, word: str) -> bool:
-        text = self.text
-        for i, a, z in self.places(word):
-            e = i + len(word)
-            if e < z and wordy(text[e]):
-                continue
-            j = i - 1
-            while j >= a and text[j] in _STRIP_L:
-                j -= 1
-            while j >= a and text[j].isspace():
-                j -= 1
-            if j >= a and (text[j] == "," or wordy(text[j])):
-                return True
-        return False
+        if self._inner is None:
+            self._inner = {norm(w) for a, z in self.spans for w in _WITHIN.findall(self.text, a, z)}
+        return word in self._inner
 
     def start(self, word: str) -> bool:
         """It begins a block."""
-        if self.heads is None:
-            self.heads = {word_at(self.text, m.end() if (m := _ITEM.match(self.text, a, z)) else a, z) for a, z in self.spans}
-        return word in self.heads
+        if self._heads is None:
+            self._heads = {word_at(self.text, m.end() if (m := _ITEM.match(self.text, a, z)) else a, z) for a, z in self.spans}
+        return word in self._heads
+
+
+_INSIDE = ",;:)]}、，；：）」』”’»"  # no sentence begins with these
+
+
+def small(sign: str) -> bool:
+    """A small letter, or a sign that a sentence does not begin with."""
+    return sign.islower() or not (sign.isalnum() or sign in "@.#/&%'" or unicodedata.category(sign)[0] == "S")
 
 
 class Splitter:
@@ -268,7 +269,7 @@ class Splitter:
         if not text or text.isspace():
             return []
         parts = blocks(text)
-        self.text, self.parts, self.seen = text, parts, None
+        self.text, self.parts, self.seen, self.thai = text, parts, None, bool(_THAI.search(text))
         return [s for a, z in parts for s in self.block(a, z)]
 
     @property
@@ -306,12 +307,12 @@ class Splitter:
                 cuts.append(e)
                 at = e
         opens = [o for o, _ in shut]
-        for m in _THAI_GAP.finditer(text, body, z):
+        for m in _THAI_GAP.finditer(text, body, z) if self.thai else ():
             k = bisect.bisect_right(opens, m.start()) - 1
             if k < 0 or shut[k][1] < m.start():
                 cuts.append(m.start())
         out, at = [], a
-        for c in [*sorted(set(cuts)), z]:
+        for c in [*(sorted(set(cuts)) if self.thai else cuts), z]:
             s, e = at, c
             while s < e and text[s].isspace():
                 s += 1
@@ -324,16 +325,21 @@ class Splitter:
 
     def ends(self, at: int, i: int, j: int, e: int, z: int, opened: int) -> bool:
         """Whether the marks text[i:j], with closing marks up to ``e``, end the sentence that began at ``at``."""
-        text, lex = self.text, self.lex
+        text = self.text
         run, spaced = text[i:j], text[e].isspace()
         t = e
         while t < z and text[t].isspace():
             t += 1
         if t >= z:
             return True
-        sign = first_sign(text, t, z)
-        if not sign:
+        first = after_openers(text, t, z)
+        if first >= z:
             return False
+        sign = text[first]
+        if run == "." and opened < 0 and spaced:
+            if text[t] in _INSIDE and text[t] not in PAIRS:
+                return False
+            return self.full_stop(at, i, first, z, sign)
         cjk = bool(_CJK.match(text[i - 1])) if i else False
         before_cjk = cjk or (i and text[i - 1] in "）」』”》】％")
         if any(c in FULL_WIDTH for c in run):
@@ -350,16 +356,13 @@ class Splitter:
             if not (run[-1] in "!?" and cjk and _CJK.match(sign)):
                 return False
             own = True
-        if text[t] in ",;:)]}、，；：）」』”’»" and text[t] not in PAIRS:
+        if text[t] in _INSIDE and text[t] not in PAIRS:
             return False
         if opened >= 0:
             return self.after_quote(at, opened, e, t, z, sign, spaced)
-        word = word_at(text, t, z)
-        small = sign.islower() or not (sign.isalnum() or sign in "@.#/&%'" or unicodedata.category(sign)[0] == "S")
-        starter = lex.small_start(word)
         if own:
-            return not (spaced and sign.islower() and not starter and run[-1] not in OWN_SCRIPT)
-        if run in (";", ";"):
+            return not (spaced and sign.islower() and run[-1] not in OWN_SCRIPT and not self.starter(first, z))
+        if run in (";", "\u037e"):
             return self.greek(at, i) and not sign.islower()
         if ";" in run:
             return False
@@ -368,49 +371,64 @@ class Splitter:
                 apart = i > 0 and text[i - 1].isspace()
                 if sign.isdigit():
                     return not apart
-            return starter or not small
-        return self.full_stop(at, i, t, z, word, sign, small, starter)
+            return not small(sign) or self.starter(first, z)
+        return self.full_stop(at, i, first, z, sign)
+
+    def starter(self, first: int, z: int) -> bool:
+        """Whether the word at ``first`` begins sentences though it has no capital."""
+        return self.lex.small_start(word_at(self.text, first, z))
 
-    def full_stop(self, at: int, i: int, t: int, z: int, word: str, sign: str, small: bool, starter: bool) -> bool:
+    def full_stop(self, at: int, i: int, first: int, z: int, sign: str) -> bool:
+        """Whether a full stop at ``i``, before white space and the word at ``first``, ends a sentence.
+
+        What the document shows without doubt comes first, of the word before the stop and of the one behind it; the
+        corpus is asked where the document is silent or shows both.
+        """
         text, lex = self.text, self.lex
         w = before_stop(text, at, i)
-        if not w or not any(map(str.isalnum, w)) or not wordy(w[-1]):
-            return starter or not small
-        number = w[-1].isdigit() and w.lstrip("#№").replace(",", "").replace(".", "").isdigit()
-        if number:
+        if not w or not wordy(w[-1]) or not any(map(str.isalnum, w)):
+            return not small(sign) or self.starter(first, z)
+        if w[-1].isdigit() and w.lstrip("#№").replace(",", "").replace(".", "").isdigit():  # a number
             if sign.islower():
-                return starter
+                return self.starter(first, z)
             if sign.isupper() and w.isdigit() and len(w) <= 3:
-                return not self.names(word)
+                return not self.names(word_at(text, first, z))
             return True
-        letters = [c for c in w if c.isalpha()]
-        kind = lex.abbreviations.get(w)
-        if len(letters) == 1 and len(w) == 1:
-            if w.isupper():
-                return kind == MAY_END and not sign.isdigit() and not self.names(word) and (starter or not small)
-            if kind is None:
-                kind = MAY_END if sign.islower() else None
-        if kind is None and short(w) and self.doc.abbreviation(w) and not self.doc.word(w):
-            kind = MAY_END
-        if kind == MAY_END and len(letters) > 3 and w.isalpha() and self.doc.word(w) and not self.doc.abbreviation(w):
+        doc, kind = self.doc, lex.abbreviations.get(w)
+        if len(w) == 1 and w.isalpha():
+            if w.isupper():  # an initial
+                return kind == MAY_END and not sign.isdigit() and not self.names(word_at(text, first, z)) and (not small(sign) or self.starter(first, z))
+            if kind is None and sign.islower():
+                kind = MAY_END
+        shown = doc.shortened(w)
+        if kind is None and not shown:
+            return not small(sign) or not cased(w) or self.starter(first, z) or plain_shape(w) or doc.plain(w) > 0
+        plain = doc.plain(w)
+        if shown >= proof(w) and not plain:
+            kind = kind or MAY_END  # an abbreviation, and no word, of this document
+        elif plain >= 2 and not shown and len(w) > 1 and sign.isupper() and not doc.inner(word_at(text, first, z)):
+            return True  # a word of this document, whatever it is elsewhere, and behind it no name
+        elif kind == MAY_END and plain and not shown and len(w) > 3 and w.isalpha():
             kind = None
         if kind is None:
-            if small and not starter and cased(w):
-                return not short(w) or self.doc.word(w) and not self.doc.abbreviation(w)
+            if cased(w) and small(sign) and not self.starter(first, z):
+                return plain_shape(w) or plain > 0 and not shown
             return True
         if kind == NEVER:
             return False
-        if starter and not sign.isupper():
+        if not sign.isupper() and self.starter(first, z):
             return True
-        if small or sign.isdigit():
+        if small(sign) or sign.isdigit():
             return False
-        return self.doc.start(word) or not lex.only_inner(word)
+        word = word_at(text, first, z)
+        return doc.start(word) or not lex.only_inner(word)
 
     def names(self, word: str) -> bool:
-        """Whether a capitalised word after an ambiguous full stop is a name or noun that needs no sentence start."""
-        known = self.lex.inner(word)
+        """Whether a capitalised word after an ambiguous full stop is a name or noun that needs no sentence start: as it
+        stands elsewhere in the document, or else in the corpus."""
         if self.doc.start(word):
             return False
+        known = self.lex.inner(word)
         if word and known is not False and self.doc.inner(word) and self.lex.abbreviations.get(word) != NEVER:
             return True
         return bool(known)
@@ -443,68 +461,59 @@ class Tally:
 
     Keys: ("w", word, how): how a word with a full stop goes on: e at a block's end, u capital or caseless, d digit,
     c comma. ("p", word, next): before a small letter. ("t", word, s or m): a word at a block's start or elsewhere.
+    Words are counted whole, whatever their length.
     """
 
     def __init__(self):
         self.tokens: Counter = Counter()  # as they stand, made words of when all are counted
         self.heads: Counter = Counter()
-        self.stops: Counter = Counter()
+        self.stops: Counter = Counter()  # (token with its full stop, token behind it)
 
     def __len__(self) -> int:
         return len(self.tokens) + len(self.stops)
 
     def add(self, text: str) -> None:
+        tokens, stops = [], []
         for a, z in blocks(text):
             item = _ITEM.match(text, a, z)
             body = item.end() if item else a
-            self.tokens.update(text[body:z].split())
-            self.heads[word_at(text, body, z)] += 1
-            shut, k = None, 0
+            tokens += text[body:z].split()
+            if m := _HEAD.match(text, body, z):
+                self.heads[m[1]] += 1
+            shut = enclosed(text, a, z) if _PAIRED.search(text, a, z) else []
+            if not shut:
+                stops += _STOP.findall(text, body, z)
+                continue
+            k = 0
             for m in _STOP.finditer(text, body, z):
-                i = m.start() + 1
-                before = self.before(text, body, i)
-                if not before:
-                    continue
-                if m[1]:
-                    self.stops["w", before, "c"] += 1
-                    continue
-                t = i + 1
-                while t < z and text[t].isspace():
-                    t += 1
-                if t >= z:
-                    self.stops["w", before, "e"] += 1
-                    continue
-                if shut is None:
-                    shut = enclosed(text, a, z) if _PAIRED.search(text, a, z) else []
+                t = m.end()
                 while k < len(shut) and shut[k][1] < t:
                     k += 1
-                if k < len(shut) and shut[k][0] < t:
-                    continue
-                sign = first_sign(text, t, z)
-                if sign.islower():
-                    self.stops["p", before, word_at(text, t, z)[:40]] += 1
-                else:
-                    self.stops["w", before, "d" if sign.isdigit() else "u"] += 1
-
-    @staticmethod
-    def before(text: str, a: int, i: int) -> str:
-        """The word before the full stop at ``i`` if it is of at most 12 characters, else nothing."""
-        low = max(a, i - 16)
-        head = text[low:i]
-        cut = max(map(head.rfind, " \n\t\r\xa0\u202f\u3000"))
-        if cut < 0 and low > a:
-            return ""
-        word = norm(head[cut + 1 :].lstrip(_STRIP_L))
-        return word if 0 < len(word) <= 12 and wordy(word[-1]) else ""
+                if k == len(shut) or shut[k][0] >= t or m[1][-1] != "." or m[2] is None:
+                    stops.append((m[1], m[2] or ""))
+        self.tokens.update(tokens)
+        self.stops.update(stops)
 
     def counts(self) -> Counter:
-        out = Counter(self.stops)
+        out: Counter = Counter()
+        for (token, after), n in self.stops.items():
+            comma = token[-1] != "."
+            word = norm(token[: -1 - comma].lstrip(_STRIP_L))
+            if not word or not wordy(word[-1]):
+                continue
+            if comma:
+                out["w", word, "c"] += n
+            elif not after:
+                out["w", word, "e"] += n
+            elif after[0].islower():
+                out["p", word, stripped(after)] += n
+            else:
+                out["w", word, "d" if after[0].isdigit() else "u"] += n
         for raw, n in self.tokens.items():
-            word = norm(raw.lstrip(_STRIP_L).rstrip(_STRIP_R))
-            if word and len(word) <= 40:
+            if word := stripped(raw):
                 out["t", word, "m"] += n
-        for word, n in self.heads.items():
-            if word and len(word) <= 40:
+        for raw, n in self.heads.items():
+            if word := stripped(raw):
                 out["t", word, "s"] += n
                 out["t", word, "m"] -= n
         return out
@@ -534,53 +543,90 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def classify(word: str, a: int, u: int, d: int, e: int) -> int | None:
     """The class of a word that stood before a full stop ``a`` times before small letters or commas, ``u`` capitals,
-    ``d`` digits and ``e`` times at a block's end."""
-    n = a + u + d + e
-    if not any(map(str.isalpha, word)) or not short(word):
+    ``d`` digits and ``e`` times at a block's end. Longer words need more of it, as ``proof`` says."""
+    n, least = a + u + d + e, LEAST * proof(word)
+    if not any(map(str.isalpha, word)):
         return None
-    if e <= 0.005 * n and (a + d >= max(LEAST, 0.3 * n) or n >= 12):
+    if plain_shape(word):
+        return NEVER if e == 0 and a >= max(least, 0.5 * n) else None
+    if e <= 0.005 * n and (a + d >= max(least, 0.3 * n) or n >= 12):
         return NEVER
     if not cased(word):
         return None  # of a script without capitals: a small letter of another script after it says nothing
     return MAY_END if e and a >= 2 and a >= 0.03 * n else None
 
 
-def build(starts: Iterator[tuple[str, int, int]], words: Iterator[tuple[str, int, int, int, int]]) -> Lexicon:
-    """A lexicon of counts: (word, at a block's start, within) and (word, a, u, d, e) as ``classify`` takes them."""
-    lex = Lexicon(starts={w: (s, m) for w, s, m in starts if s + m >= LEAST})
-    lex.abbreviations = {w: k for w, *c in words if sum(c) >= LEAST and (k := classify(w, *c))}
-    return lex
+_CLASSED = "word string, class int"
 
 
-def corpus_lexicon(df: DataFrame, text: str = "text") -> Lexicon:
-    """Statistics over all documents, combined in each partition and then by word.
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [(w, k) for w, *c in zip(*(x.to_pylist() for x in b.columns)) if (k := classify(w, *c))]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([k for _, k in found], pa.int32())], names=["word", "class"])
 
-    Words of ``LEAST`` occurrences are used whatever the size of the corpus, so that a document is split no worse in a
-    larger one. What reaches the driver, and is broadcast, grows with the corpus's vocabulary; of the words before full
-    stops only those that may be abbreviations do.
+
+def lexicon_table(df: DataFrame, text: str = "text") -> DataFrame:
+    """(word, s, m, class): statistics over all documents, combined in each partition and then by word.
+
+    ``s`` and ``m``: times at a block's start and elsewhere, of words of ``LEAST`` occurrences, else null. ``class``: of
+    abbreviations. The bound is the same whatever the size of the corpus, so a document is split no worse in a larger one.
     """
-    rows = spread(df.select(text)).mapInArrow(_tallies, "kind string, x string, y string, n bigint")
+    rows = df.select(text).mapInArrow(_tallies, "kind string, x string, y string, n bigint")
     n = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(y)
     follows = F.when(F.col("kind") == "p", F.col("y")).otherwise("")
-    by = written(rows.groupBy("kind", "x", follows.alias("follows")).agg(*map(n, "eudcsm"), F.sum("n").alias("n")), "lexicon")
-    starts = by.filter((F.col("kind") == "t") & (F.col("s") + F.col("m") >= LEAST)).select("x", "s", "m").toArrow()
-    first = build(zip(*(starts.column(i).to_pylist() for i in range(3))), [])
-    small = [w for w in first.starts if not w[0].isupper() and first.small_start(w)]  # a part of ``starts``
-    small_df = df.sparkSession.createDataFrame(pa.table({"follows": pa.array(small, pa.string())}))
-    pairs = by.filter("kind = 'p'").join(F.broadcast(small_df), "follows", "left_anti").select("x", F.col("n").alias("a"), *[F.lit(0).alias(c) for c in "ude"])
+    by = written(rows.groupBy("kind", "x", follows.alias("follows")).agg(*map(n, "eudcsm"), F.sum("n").alias("n")), "tally")
+    starts = by.filter(f"kind = 't' and s + m >= {LEAST}").select(F.col("x").alias("word"), "s", "m")
+    first = F.substr("word", F.lit(1), F.lit(1))
+    small = starts.filter(f"s >= {LEAST} and s > 0.1 * (s + m)").filter(first == F.lower(first)).select(F.col("word").alias("follows"))
+    pairs = by.filter("kind = 'p'").join(small, "follows", "left_anti").select("x", F.col("n").alias("a"), *[F.lit(0).alias(c) for c in "ude"])
     words = by.filter("kind = 'w'").select("x", F.col("c").alias("a"), "u", "d", "e").unionByName(pairs)
     words = words.groupBy("x").agg(*[F.sum(c).alias(c) for c in "aude"]).withColumn("n", F.expr("a + u + d + e"))
     # what ``classify`` may take for abbreviations
-    words = words.filter(f"n >= {LEAST} and (e <= 0.005 * n and (a + d >= 0.3 * n or n >= 12) or e > 0 and a >= 2 and a >= 0.03 * n)").select("x", *"aude").toArrow()
-    return build(zip(*(starts.column(i).to_pylist() for i in range(3))), zip(*(words.column(i).to_pylist() for i in range(5))))
+    words = words.filter(f"n >= {LEAST} and (e <= 0.005 * n and (a + d >= 0.3 * n or n >= 12) or e > 0 and a >= 2 and a >= 0.03 * n)").select("x", *"aude")
+    return written(starts.join(words.mapInArrow(_classes, _CLASSED), "word", "full").select("word", "s", "m", "class"), "lexicon")
+
+
+def lexicon_of(rows: pa.Table | list[dict]) -> Lexicon:
+    rows = rows.to_pylist() if isinstance(rows, pa.Table) else rows
+    return Lexicon({r["word"]: r["class"] for r in rows if r["class"]}, {r["word"]: (r["s"], r["m"]) for r in rows if r["s"] is not None})
+
+
+def corpus_lexicon(df: DataFrame, text: str = "text") -> Lexicon:
+    """The whole table on the driver, for corpora known to be small."""
+    return lexicon_of(lexicon_table(df, text).toArrow())
+
+
+def asked(text: str) -> set[str]:
+    """All words a ``Splitter`` may look up for a text: those before and behind marks."""
+    words: set[str] = set()
+    for a, z in blocks(text):
+        for m in _RUN.finditer(text, a, z):
+            words.add(before_stop(text, a, m.start()))
+            e = m.end()
+            while e < z and (text[e] in CLOSERS or text[e].isspace()):
+                e += 1
+                words.add(word_at(text, e, z))
+            words.add(word_at(text, m.end(), z))
+        words.update(stripped(after) for _, after in _STOP.findall(text, a, z))
+    return words - {""}
+
+
+def _asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [(d, w) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for w in asked(t)]
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())], names=["digest", "word"])
+
 
+def _splitting(lex: Lexicon | None):
+    """Splits c1; without a lexicon each row has its own in c2."""
 
-def _splitting(lex: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(lex)
         for b in batches:
             at, start, end = [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
+                if t and lex is None:
+                    splitter = Splitter(lexicon_of(b.column(2)[i].as_py() or []))
                 for s, e in splitter.spans(t) if t else ():
                     at.append(i)
                     start.append(s)
@@ -590,14 +636,22 @@ def _splitting(lex: Lexicon):
     return run
 
 
-def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", lexicon: Lexicon | None = None) -> DataFrame:
+def sentences(df: DataFrame, key: str = "doc_id", text: str = "text", lexicon: Lexicon | None = None, most: int = MOST) -> DataFrame:
     """(key, start_char, end_char): one row per sentence, in code points, without white space at the ends.
 
     Every visible character outside fenced code is in exactly one sentence. Null, empty and blank texts and texts
     that are all code have no row; repeated rows are split each; null keys stay. Texts are split whole. ``lexicon``
-    is taken from ``df`` itself, all of it, if not given.
+    is taken from ``df`` itself, all of it, if not given: a table of up to ``most`` words goes to every task, of a larger
+    one each text gets the words it asks for, by a join. Both give the same sentences.
     """
-    lex = corpus_lexicon(df, text) if lexicon is None else lexicon
     rows = df.select(F.col(key).alias("c0"), F.col(text).alias("c1"))
-    kind = rows.schema[0].dataType.simpleString()
-    return spread(rows).mapInArrow(_splitting(lex), f"c0 {kind}, start_char bigint, end_char bigint").withColumnRenamed("c0", key)
+    out = f"c0 {rows.schema[0].dataType.simpleString()}, start_char bigint, end_char bigint"
+    if lexicon is None:
+        words = lexicon_table(df, text)
+        if words.limit(most + 1).count() > most:
+            wanted = rows.select(F.md5("c1").alias("digest"), "c1").mapInArrow(_asking, "digest string, word string").distinct()
+            own = wanted.join(words, "word").groupBy("digest").agg(F.collect_list(F.struct("word", "s", "m", "class")).alias("c2"))
+            joined = rows.withColumn("digest", F.md5("c1")).join(own, "digest", "left").select("c0", "c1", "c2")
+            return joined.mapInArrow(_splitting(None), out).withColumnRenamed("c0", key)
+        lexicon = lexicon_of(words.toArrow())
+    return rows.mapInArrow(_splitting(lexicon), out).withColumnRenamed("c0", key)

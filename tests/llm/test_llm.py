@@ -250,6 +250,44 @@ def test_the_document_decides_before_the_corpus():
     assert split(text)[0] == "He saw the approx. value again."
 
 
+def test_plain_use_in_the_document_overrules_the_corpus():
+    lex = sentences.Lexicon({"fig": sentences.NEVER, "Dr": sentences.NEVER})
+    assert split("We ate a fig. Then a fig fell. The fig is sweet.", lex=lex) == ["We ate a fig.", "Then a fig fell.", "The fig is sweet."]
+    assert len(split("See fig. Then see it, fig. and more.", lex=lex)) == 1  # nothing plain: the corpus
+    assert split("See Dr. Kero, as Dr Kero says, or Dr Kero.", lex=lex) == ["See Dr. Kero, as Dr Kero says, or Dr Kero."]  # a name behind it
+
+
+def test_long_words_are_shown_by_more_occurrences():
+    once = "It was supplementar. and more. In supplementar. Kero came."
+    assert split(once)[0] == "It was supplementar."
+    assert split("It was supplementar. one, " * 3 + "in supplementar. Kero came.")[0].startswith("It was supplementar. one, It")
+    assert sentences.classify("Dr", 3, 5, 0, 0) and sentences.classify("univers", 3, 0, 0, 0) is None and sentences.classify("univers", 9, 2, 0, 0)
+
+
+def test_words_are_counted_whole():
+    a, b = "x" * 60 + "1", "x" * 60 + "2"
+    tally = sentences.Tally()
+    tally.add(f"One {a} and {b}. we see {a}")
+    counts = tally.counts()
+    assert counts["t", a, "m"] == 2 and counts["t", b, "m"] == 1 and counts["p", b, "we"] == 1
+
+
+def test_text_of_another_language_leaves_sentences_as_they_are(spark):
+    texts = ["Siehe Abb. 4 und Tab. Drei, vgl. auch oben. Zum 21. Mal neu.", "Abb. 5, Abb. und mehr. Die Zeit ist um.", "Siehe Abb. oder Tab. und mehr, vgl. alles."] * 4
+    small = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    more = spark.range(100, 2_100).select(F.col("id").alias("doc_id"), F.lit("The server failed again. It was restored at noon. " * 20).alias("text"))
+    key = lambda df: sorted(map(tuple, df.filter("doc_id < 100").collect()))
+    assert key(sentences.sentences(small)) == key(sentences.sentences(small.unionByName(more)))
+
+
+@has_data
+def test_a_joined_lexicon_gives_the_same_sentences(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = docs.unionByName(docs.limit(5)).select("doc_id", "text", F.lit("clash").alias("digest"))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(sentences.sentences(docs, most=10)) == key(sentences.sentences(docs)) != key(sentences.sentences(docs, lexicon=sentences.Lexicon()))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.sampled_from("ab A.!?…\"'“”()« »。「」 \n\r`#-1;ก้ฯ"), max_size=80))
 def test_every_visible_character_is_in_one_sentence(text):
