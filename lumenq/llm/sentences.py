@@ -40,10 +40,11 @@ _TOKEN = re.compile(r"\S+")
 _GAP = re.compile(r"(?>\r\n|\r|\n)[^\S\r\n]*(?>\r\n|\r|\n)\s*")
 _CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿々]")
 _STRIP_L = "".join(OPENERS | CLOSERS) + ","
+_LEADING = "".join(OPENERS)
 _MARKED = frozenset(_STRIP_L)
 _OPEN = "[" + re.escape("".join(sorted(OPENERS))) + r"\s]*"
 _STOP = re.compile(rf"(?<!\S)(\S++)(?:(?<=[^\s.]\.)|(?<=[^\s.]\.[,;]))(?:(?=\s{_OPEN}(\S+))|(?=\s|\Z))")  # a token that ends in a full stop, what follows
-_SHORTENED = re.compile(r"[^\s.]\.(?:[,;](?=\s)|(?=\s[^A-Z0-9]))")  # where a stop may be followed by a small letter
+_SHORTENED = re.compile(rf"[^\s.]\.(?:[,;](?=\s|\Z)|(?=\s{_OPEN}([^\sA-Z0-9]\S*)))")  # a full stop that a small letter may follow
 _HEAD = re.compile(rf"{_OPEN}(\S+)")
 _WITHIN = re.compile(rf"(?<=[\w,]){_OPEN.replace('*', '+')}(\w[\w\u0300-\u036f]*)")  # a word after a word or a comma
 _THAI = re.compile("[ก-๎]")
@@ -215,16 +216,17 @@ class Evidence:
         """How often it stands, with its full stop, before a small letter or a comma."""
         if self._stops is None:
             self._stops = {}
-            for a, z in self.spans if _SHORTENED.search(self.text) else ():
-                for token, after in _STOP.findall(self.text, a, z):
-                    if token[-1] == ".":
+            for a, z in self.spans:
+                for m in _SHORTENED.finditer(self.text, a, z):
+                    after, i = m[1], m.start() + 1
+                    if after is not None:
                         if not after[:1].islower() or self.lex.small_start(stripped(after)):
                             continue
-                        w = norm(token[:-1].lstrip(_STRIP_L))
+                        w = before_stop(self.text, a, i)
                         if not cased(w):
                             continue
                     else:
-                        w = norm(token[:-2].lstrip(_STRIP_L))
+                        w = before_stop(self.text, a, i)
                     self._stops[w] = self._stops.get(w, 0) + 1
         return self._stops.get(word, 0)
 
@@ -288,6 +290,11 @@ class Splitter:
         at, k = a, 0
         for m in _RUN.finditer(text, body, z):
             i, j = m.span()
+            if not shut and j < z and text[j] == " ":  # nothing closes behind the marks
+                if self.ends(at, i, j, j, z, -1):
+                    cuts.append(j)
+                    at = j
+                continue
             while k < len(shut) and shut[k][1] < i:
                 k += 1
             e, opened = j, -1
@@ -312,14 +319,12 @@ class Splitter:
             if k < 0 or shut[k][1] < m.start():
                 cuts.append(m.start())
         out, at = [], a
-        for c in [*(sorted(set(cuts)) if self.thai else cuts), z]:
-            s, e = at, c
-            while s < e and text[s].isspace():
+        for c in [*(sorted(set(cuts)) if self.thai else cuts), z]:  # no white space before a cut
+            s = at
+            while s < c and text[s].isspace():
                 s += 1
-            while e > s and text[e - 1].isspace():
-                e -= 1
-            if s < e:
-                out.append((s, e))
+            if s < c:
+                out.append((s, c))
             at = c
         return out
 
@@ -327,15 +332,17 @@ class Splitter:
         """Whether the marks text[i:j], with closing marks up to ``e``, end the sentence that began at ``at``."""
         text = self.text
         run, spaced = text[i:j], text[e].isspace()
-        t = e
+        t = e + 1 if spaced else e
         while t < z and text[t].isspace():
             t += 1
         if t >= z:
             return True
-        first = after_openers(text, t, z)
-        if first >= z:
-            return False
-        sign = text[first]
+        sign, first = text[t], t
+        if sign in OPENERS:
+            first = after_openers(text, t, z)
+            if first >= z:
+                return False
+            sign = text[first]
         if run == "." and opened < 0 and spaced:
             if text[t] in _INSIDE and text[t] not in PAIRS:
                 return False
@@ -386,23 +393,23 @@ class Splitter:
         """
         text, lex = self.text, self.lex
         w = before_stop(text, at, i)
-        if not w or not wordy(w[-1]) or not any(map(str.isalnum, w)):
+        if not w or not (w.isalnum() or wordy(w[-1]) and any(map(str.isalnum, w))):
             return not small(sign) or self.starter(first, z)
-        if w[-1].isdigit() and w.lstrip("#№").replace(",", "").replace(".", "").isdigit():  # a number
+        if not w[-1].isalpha() and w[-1].isdigit() and w.lstrip("#№").replace(",", "").replace(".", "").isdigit():  # a number
             if sign.islower():
                 return self.starter(first, z)
             if sign.isupper() and w.isdigit() and len(w) <= 3:
                 return not self.names(word_at(text, first, z))
             return True
-        doc, kind = self.doc, lex.abbreviations.get(w)
+        doc, kind = self.doc if self.seen is None else self.seen, lex.abbreviations.get(w)
         if len(w) == 1 and w.isalpha():
             if w.isupper():  # an initial
                 return kind == MAY_END and not sign.isdigit() and not self.names(word_at(text, first, z)) and (not small(sign) or self.starter(first, z))
             if kind is None and sign.islower():
                 kind = MAY_END
-        shown = doc.shortened(w)
+        shown = doc.shortened(w) if doc._stops is None else doc._stops.get(w, 0)
         if kind is None and not shown:
-            return not small(sign) or not cased(w) or self.starter(first, z) or plain_shape(w) or doc.plain(w) > 0
+            return sign.isalpha() and not sign.islower() or not small(sign) or not cased(w) or self.starter(first, z) or plain_shape(w) or doc.plain(w) > 0
         plain = doc.plain(w)
         if shown >= proof(w) and not plain:
             kind = kind or MAY_END  # an abbreviation, and no word, of this document
@@ -477,12 +484,13 @@ class Tally:
         for a, z in blocks(text):
             item = _ITEM.match(text, a, z)
             body = item.end() if item else a
-            tokens += text[body:z].split()
+            words = text[body:z].split()
+            tokens += words
             if m := _HEAD.match(text, body, z):
                 self.heads[m[1]] += 1
             shut = enclosed(text, a, z) if _PAIRED.search(text, a, z) else []
             if not shut:
-                stops += _STOP.findall(text, body, z)
+                stops += [(w, after) for w, after in zip(words, [*words[1:], ""]) if w[-1] in ".,;"]
                 continue
             k = 0
             for m in _STOP.finditer(text, body, z):
@@ -498,9 +506,13 @@ class Tally:
         out: Counter = Counter()
         for (token, after), n in self.stops.items():
             comma = token[-1] != "."
+            if comma and token[-2:-1] != ".":
+                continue
             word = norm(token[: -1 - comma].lstrip(_STRIP_L))
             if not word or not wordy(word[-1]):
                 continue
+            if after and after[0] in OPENERS and not (after := after.lstrip(_LEADING)):
+                continue  # an opening mark that stands alone
             if comma:
                 out["w", word, "c"] += n
             elif not after:
