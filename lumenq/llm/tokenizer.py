@@ -17,8 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lumenq.session import spread
-
 TOKENIZERS = "/opt/tokenizers"
 CHUNK = 1_000_000  # code points taken through the arrays at once
 CACHE = 400_000  # slices kept per worker
@@ -309,7 +307,7 @@ def _encoder(path: str, want: str):
 def _map(df: DataFrame, key: str, text: str, path: str, want: str, cols: list[tuple[str, str]]) -> DataFrame:
     rows = df.select(F.col(key).alias("c0"), F.col(text).alias("c1"))
     kind = rows.schema[0].dataType.simpleString()
-    out = spread(rows).mapInArrow(_encoder(path, want), ", ".join([f"c0 {kind}", *(f"c{i + 1} {t}" for i, (_, t) in enumerate(cols))]))
+    out = rows.mapInArrow(_encoder(path, want), ", ".join([f"c0 {kind}", *(f"c{i + 1} {t}" for i, (_, t) in enumerate(cols))]))
     return out.select(F.col("c0").alias(key), *[F.col(f"c{i + 1}").alias(n) for i, (n, _) in enumerate(cols)])
 
 
@@ -322,6 +320,19 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
     return _map(df, key, text, path or vocabulary(), "ids", [("ids", "array<int>")])
 
 
+def decoded(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
+    """(key, text): the text of each row's ids; the empty text for null and empty lists."""
+    path = path or vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = merger(path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["c0", "text"])
+
+    rows = df.select(F.col(key).alias("c0"), F.col(ids).alias("c1"))
+    return rows.mapInArrow(run, f"c0 {rows.schema[0].dataType.simpleString()}, text string").withColumnRenamed("c0", key)
+
+
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, n_tokens): 0 for empty and null texts."""
     return _map(df, key, text, path or vocabulary(), "count", [("n_tokens", "bigint")])
