@@ -14,6 +14,7 @@ from lumenq.scope import ALL, Scope
 KINDS = ("monitor_down", "monitor_up", "issue_new", "issue_regression", "error_threshold", "error_spike", "event_threshold", "perf_degradation")
 COMPARE = {"gte": Column.__ge__, "gt": Column.__gt__, "lte": Column.__le__, "lt": Column.__lt__, "eq": Column.__eq__}
 FEW = 20
+HOUR = dt.timedelta(hours=1)
 
 
 @dataclass(frozen=True)
@@ -81,19 +82,25 @@ def new_issues(issues: DataFrame, occurrences: DataFrame, start: dt.datetime, en
     """Issues first seen in (start, end] that occurred in scope between an hour before they were first seen and last."""
     i = issues.filter((F.col("first_seen") > F.lit(start)) & (F.col("first_seen") <= F.lit(end)))
     i = i if level is None else i.filter(F.col("level") == level)
-    return _occurred(i, occurrences, scope).orderBy(F.desc("first_seen"), "id").limit(limit)
+    return _occurred(i, occurrences.filter(F.col("occurred_at") > F.lit(start - HOUR)), scope).orderBy(F.desc("first_seen"), "id").limit(limit)
 
 
 def regressions(issues: DataFrame, occurrences: DataFrame, start: dt.datetime, end: dt.datetime, scope: Scope = ALL, limit: int = FEW) -> DataFrame:
     """Resolved or ignored issues seen again in (start, end]."""
     i = issues.filter(F.col("status").isin("resolved", "ignored") & (F.col("last_seen") > F.lit(start)) & (F.col("last_seen") <= F.lit(end)))
-    return _occurred(i, occurrences, scope).orderBy(F.desc("last_seen"), "id").limit(limit)
+    return _occurred(i, occurrences.filter(F.col("occurred_at") <= F.lit(end)), scope).orderBy(F.desc("last_seen"), "id").limit(limit)
 
 
 def _occurred(issues: DataFrame, occurrences: DataFrame, scope: Scope) -> DataFrame:
+    """``issues`` that have an occurrence in their own range of time.
+
+    Occurrences meet the few issues in question in an inner join, whose skewed side may be split, and leave it as
+    one row per issue and task; the issues are then matched with these.
+    """
     o = scope.apply(occurrences).filter("issue_id is not null").select("issue_id", F.col("occurred_at").alias("_t"))
-    on = (issues["id"] == o["issue_id"]) & (o["_t"] > issues["first_seen"] - F.expr("interval 1 hour")) & (o["_t"] <= issues["last_seen"])
-    return issues.join(o, on, "left_semi")
+    i = issues.select(F.col("id").alias("_id"), (F.col("first_seen") - F.expr("interval 1 hour")).alias("_from"), F.col("last_seen").alias("_to"))
+    seen = o.join(i, (F.col("issue_id") == F.col("_id")) & (F.col("_t") > F.col("_from")) & (F.col("_t") <= F.col("_to"))).select(F.col("_id").alias("id")).distinct()
+    return issues.join(seen, "id", "left_semi")
 
 
 def quiet(minute: int, start: int, end: int) -> bool:

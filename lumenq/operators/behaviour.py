@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lumenq.operators.series import ratio, since
+from lumenq.operators.series import ratio, since, user
 from lumenq.operators.users import duration_histogram
 from lumenq.query.errors import QueryError
 from lumenq.scope import ALL, Scope
@@ -27,7 +27,7 @@ def check_funnel(steps: Sequence[str], name: str = "", description: str = "") ->
 
 
 def funnel(events: DataFrame, steps: Sequence[str], start: dt.datetime, scope: Scope = ALL) -> DataFrame:
-    """(step, name, n, from_start, from_previous): users who did the steps in order, each at or after the one before.
+    """(step, name, n, from_start, from_previous): users (each of one app) who did the steps in order, each at or after the one before.
 
     A user's time of a step is its first occurrence at or after its time of the previous step; steps may repeat and
     share a time. Every leg has the constant lower bound of time and its own name filter, so each prunes its scan.
@@ -35,13 +35,14 @@ def funnel(events: DataFrame, steps: Sequence[str], start: dt.datetime, scope: S
     """
     steps = check_funnel(steps)
     rows = since(scope.apply(events), start).filter("distinct_id <> ''")
-    leg = lambda s: rows.filter(F.col("name") == s).select("distinct_id", "occurred_at")
-    chain = leg(steps[0]).groupBy("distinct_id").agg(F.min("occurred_at").alias("t0"))
+    leg = lambda s: rows.filter(F.col("name") == s).select("app_id", "distinct_id", "occurred_at")
+    who = ["app_id", "distinct_id"]
+    chain = leg(steps[0]).groupBy(*who).agg(F.min("occurred_at").alias("t0"))
     for i, s in enumerate(steps[1:], 1):
         times = [f"t{k}" for k in range(i)]
-        nxt = leg(s).withColumnsRenamed({"distinct_id": "_id", "occurred_at": "_t"})
-        joined = chain.join(nxt, (F.col("distinct_id") == F.col("_id")) & (F.col("_t") >= F.col(times[-1])), "left")
-        chain = joined.groupBy("distinct_id").agg(*[F.first(t).alias(t) for t in times], F.min("_t").alias(f"t{i}"))
+        nxt = leg(s).withColumnsRenamed({"app_id": "_app", "distinct_id": "_id", "occurred_at": "_t"})
+        joined = chain.join(nxt, (F.col("app_id") == F.col("_app")) & (F.col("distinct_id") == F.col("_id")) & (F.col("_t") >= F.col(times[-1])), "left")
+        chain = joined.groupBy(*who).agg(*[F.first(t).alias(t) for t in times], F.min("_t").alias(f"t{i}"))
     counts = chain.agg(*[F.count(f"t{i}").alias(f"n{i}") for i in range(len(steps))])
     rowed = counts.select(F.posexplode(F.array(*[F.struct(F.lit(s).alias("name"), F.col(f"n{i}").alias("n"), F.col("n0").alias("first"), F.col(f"n{max(0, i - 1)}").alias("prev")) for i, s in enumerate(steps)])).alias("step", "x"))
     return rowed.select("step", "x.name", "x.n", ratio(F.col("x.n"), F.col("x.first")).alias("from_start"), ratio(F.col("x.n"), F.col("x.prev")).alias("from_previous"))
@@ -87,9 +88,9 @@ def screen_list(events: DataFrame, errors: DataFrame, start: dt.datetime, scope:
     """(screen, views, events, exceptions, users, avg_dwell_ms), for every screen of an event or an error."""
     ev, er = since(scope.apply(events), start).filter("screen is not null"), since(scope.apply(errors), start).filter("screen is not null")
     view = F.col("name") == "$screen"
-    rows = ev.select("screen", "distinct_id", F.when(view, "v").otherwise("e").alias("k")).unionByName(er.select("screen", "distinct_id", F.lit("x").alias("k")))
+    rows = ev.select("screen", "app_id", "distinct_id", F.when(view, "v").otherwise("e").alias("k")).unionByName(er.select("screen", "app_id", "distinct_id", F.lit("x").alias("k")))
     n = lambda k: F.count_if(F.col("k") == k)
-    counts = rows.groupBy("screen").agg(n("v").alias("views"), n("e").alias("events"), n("x").alias("exceptions"), F.count_distinct(F.when(F.col("distinct_id") != "", F.col("distinct_id"))).alias("users"))
+    counts = rows.groupBy("screen").agg(n("v").alias("views"), n("e").alias("events"), n("x").alias("exceptions"), F.count_distinct(user()).alias("users"))
     d = dwell(events, start, scope).select("screen", "dwell_ms")
     return counts.join(d, "screen", "left").select("screen", "views", "events", "exceptions", "users", F.round(ratio(F.coalesce("dwell_ms", F.lit(0.0)), F.col("views")), 3).alias("avg_dwell_ms"))
 
@@ -99,7 +100,7 @@ def screen_people(events: DataFrame, errors: DataFrame, screen_devices: DataFram
     rows = [since(scope.apply(f), start).filter("screen is not null").select("app_id", "screen", "device_key", "distinct_id") for f in (events, errors)]
     rows = rows[0].unionByName(rows[1])
     fam = screen_devices.select("app_id", "device_key", "family")
-    return rows.join(fam, ["app_id", "device_key"], "left").groupBy("screen", "family").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("distinct_id") != "", F.col("distinct_id"))).alias("users"))
+    return rows.join(fam, ["app_id", "device_key"], "left").groupBy("screen", "family").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(user()).alias("users"))
 
 
 def effective_status(now: dt.datetime):
@@ -118,7 +119,7 @@ def workflow_list(runs: DataFrame, now: dt.datetime, scope: Scope = ALL) -> Data
     r = scope.apply(runs).withColumn("s", effective_status(now)).withColumn("ms", run_seconds() * 1000)
     n = lambda s: F.count_if(F.col("s") == s)
     return r.groupBy("name").agg(
-        F.count(F.lit(1)).alias("runs"), *[n(s).alias(s) for s in ("finished", "failed", "active", "abandoned")], F.count_distinct(F.when(F.col("distinct_id") != "", F.col("distinct_id"))).alias("unique_users"),
+        F.count(F.lit(1)).alias("runs"), *[n(s).alias(s) for s in ("finished", "failed", "active", "abandoned")], F.count_distinct(user()).alias("unique_users"),
         F.round(F.percentile("ms", 0.5), 6).alias("median_ms"), F.round(F.percentile("ms", 0.95), 6).alias("p95_ms"), F.round(n("finished") / F.count(F.lit(1)), 6).alias("completion_rate"),
     )
 

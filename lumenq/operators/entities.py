@@ -55,9 +55,11 @@ def timeline(kinds, where, each: int) -> DataFrame:
     return out.orderBy("at", "kind", "id")
 
 
-def tag_keys(rows: DataFrame, sample: int) -> DataFrame:
-    """(key, n): tag keys of the first ``sample`` tagged rows; untagged rows are left out before the sample."""
-    tagged = rows.select("tags").filter("tags is not null and size(tags) > 0").limit(sample)
+def tag_keys(rows: DataFrame, sample: int | None = None) -> DataFrame:
+    """(key, n): tag keys of all rows, or of the first ``sample`` tagged ones if a report asks for no more; untagged rows
+    are left out before the sample."""
+    tagged = rows.select("tags").filter("tags is not null and size(tags) > 0")
+    tagged = tagged if sample is None else tagged.limit(sample)
     return tagged.select(F.explode(F.map_keys("tags")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 

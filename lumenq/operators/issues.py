@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, functions as F
 
-from lumenq.operators.series import since
+from lumenq.operators.series import since, user
 from lumenq.scope import ALL, Scope
 
 LATEST = ("occurred_at", "id")
@@ -40,6 +40,6 @@ def top_issues_scoped(issues: DataFrame, occurrences: DataFrame, start: dt.datet
 
 
 def occurrence_stats(rows: DataFrame) -> DataFrame:
-    """events, users and sessions of whatever rows a list shows."""
-    filled = lambda c: F.when(F.col(c) != "", F.col(c))
-    return rows.agg(F.count(F.lit(1)).alias("events"), F.count_distinct(filled("distinct_id")).alias("users"), F.count_distinct(filled("session_id")).alias("sessions"))
+    """events, users and sessions of whatever rows a list shows; users and sessions are those of an app."""
+    session = F.when(F.col("session_id") != "", F.struct("app_id", "session_id"))
+    return rows.agg(F.count(F.lit(1)).alias("events"), F.count_distinct(user()).alias("users"), F.count_distinct(session).alias("sessions"))

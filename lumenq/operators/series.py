@@ -18,6 +18,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
 
 
+def user() -> Column:
+    """Whom a row is about: apps share identity strings, so a user is one of an app. Null without an identity."""
+    return F.when(F.col("distinct_id") != "", F.struct("app_id", "distinct_id"))
+
+
 def one_row(*frames: DataFrame) -> DataFrame:
     """The columns of several one-row frames side by side, by a union and an aggregate rather than a cross join."""
     rows = frames[0]
@@ -45,15 +50,15 @@ def overview_totals(events: DataFrame, errors: DataFrame, sessions: DataFrame, p
     Under an environment scope users are members of the scoped events, errors and sessions; else the durable rows.
     """
     ev, er, se = since(scope.apply(events), start), since(scope.apply(errors), start), since(scope.apply(sessions), start, "last_event_at")
-    kinds = [ev.select(F.lit("ev").alias("k"), "distinct_id", F.lit(None).cast("boolean").alias("flag")), er.select(F.lit("er").alias("k"), "distinct_id", F.col("handled").isNotNull().alias("flag")), se.select(F.lit("se").alias("k"), "distinct_id", (F.col("unhandled_errors_count") > 0).alias("flag"))]
+    kinds = [ev.select(F.lit("ev").alias("k"), "app_id", "distinct_id", F.lit(None).cast("boolean").alias("flag")), er.select(F.lit("er").alias("k"), "app_id", "distinct_id", F.col("handled").isNotNull().alias("flag")), se.select(F.lit("se").alias("k"), "app_id", "distinct_id", (F.col("unhandled_errors_count") > 0).alias("flag"))]
     rows = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
     n = lambda c: F.count_if(c)
     k = F.col("k")
     totals = rows.agg(n(k == "ev").alias("events"), n(k == "er").alias("errors"), n(k == "se").alias("sessions"), n((k == "se") & F.col("flag")).alias("crashed_sessions"), n((k == "er") & F.col("flag")).alias("_known"))
     people = Scope(scope.app_id, apps=scope.apps).apply(persons)
     if scope.env.kind != "all":
-        members = rows.filter("distinct_id <> ''").select("distinct_id").distinct()
-        people = people.join(members, "distinct_id", "left_semi")
+        members = rows.filter("distinct_id <> ''").select("app_id", "distinct_id").distinct()
+        people = people.join(members, ["app_id", "distinct_id"], "left_semi")
     users = people.agg(n(F.col("last_seen") >= F.lit(start)).alias("users"), n(F.col("first_seen") >= F.lit(start)).alias("new_users"))
     return one_row(totals, users).select("events", "errors", "sessions", "crashed_sessions", "users", "new_users", ((F.col("errors") == 0) | (F.col("_known") > 0)).alias("has_crash_signal"))
 

@@ -33,17 +33,16 @@ def user_stats(persons: DataFrame, events: DataFrame, errors: DataFrame, session
     """One row: total, active and new users, distinct users of the last 1, 7 and 30 days, session lengths, stickiness."""
     p = persons.agg(F.count(F.lit(1)).alias("total_users"), F.count_if(F.col("last_seen") >= F.lit(start)).alias("active_in_range"), F.count_if(F.col("first_seen") >= F.lit(start)).alias("new_in_range"))
     back = lambda d: F.lit(now - dt.timedelta(days=d))
-    # one row per user first: three distinct counts then need no expansion
+    # one row per user of an app first: three distinct counts then need no expansion
     last = seen(events, errors, scope=scope).filter(F.col("occurred_at") <= F.lit(now)).groupBy("app_id", "distinct_id").agg(F.max("occurred_at").alias("t"))
-    once = last.groupBy("distinct_id").agg(F.max("t").alias("t"))
-    a = once.agg(*[F.count_if(F.col("t") >= back(d)).alias(n) for n, d in (("dau", 1), ("wau", 7), ("mau", 30))])
+    a = last.agg(*[F.count_if(F.col("t") >= back(d)).alias(n) for n, d in (("dau", 1), ("wau", 7), ("mau", 30))])
     s = session_stats(sessions, start, scope).select("avg_session_ms", "median_session_ms")
     return one_row(p, a, s).withColumn("stickiness", ratio(F.col("dau"), F.col("mau")))
 
 
 def active_user_series(persons: DataFrame, events: DataFrame, errors: DataFrame, start: dt.datetime, scope: Scope = ALL) -> DataFrame:
     """(day, active_users, new_users): days with either; the other is 0."""
-    active = since(seen(events, errors, scope=scope), start).groupBy(F.to_date("occurred_at").alias("day")).agg(F.count_distinct("distinct_id").alias("active_users"))
+    active = since(seen(events, errors, scope=scope), start).groupBy(F.to_date("occurred_at").alias("day")).agg(F.count_distinct("app_id", "distinct_id").alias("active_users"))
     new = since(persons, start, "first_seen").groupBy(F.to_date("first_seen").alias("day")).agg(F.count(F.lit(1)).alias("new_users"))
     return active.join(new, "day", "full").select("day", F.coalesce("active_users", F.lit(0)).alias("active_users"), F.coalesce("new_users", F.lit(0)).alias("new_users"))
 

@@ -217,6 +217,9 @@ def apply(df: DataFrame, node: Resolved, resource: Resource, ctx: Context, occur
         raise QueryError("not_searchable", "no occurrences to ask")
     rows = scope.apply(occurrences).filter(F.col("issue_id").isNotNull())
     recent = F.lit(True) if since is None else F.col("occurred_at") >= F.lit(since)
-    flags = rows.groupBy(F.col("issue_id").alias("_issue"), F.col("app_id").alias("_app")).agg(*[F.bool_or(c if n in low.unbounded else c & recent).alias(n) for n, c in low.probes.items()])
+    tests = {n: c if n in low.unbounded else c & recent for n, c in low.probes.items()}
+    # an occurrence that passes no probe says nothing: left out at the scan, before anything is shuffled
+    rows = rows.filter(functools.reduce(Column.__or__, tests.values()))
+    flags = rows.groupBy(F.col("issue_id").alias("_issue"), F.col("app_id").alias("_app")).agg(*[F.bool_or(c).alias(n) for n, c in tests.items()])
     joined = df.join(flags, (df[issue] == flags["_issue"]) & (df["app_id"] == flags["_app"]), "left")
     return joined.filter(low.condition).select(*[df[c] for c in df.columns])

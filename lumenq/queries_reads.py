@@ -174,13 +174,8 @@ def occurrences_list(spark, d):
     return search.listing(views.occurrences(spark, d), Resource.OCCURRENCES, parse("level:fatal"), NOW).data.select("id", "issue_id", "message")
 
 
-@query(f"select app_id, session_id, events_count from se where last_event_at >= {_S} order by events_count desc, session_id desc, app_id desc limit 1")
-def sessions_list(spark, d):
-    return search.listing(views.sessions(spark, d), Resource.SESSIONS, parse(""), NOW, "events_count", 1).data.select("app_id", "session_id", "events_count")
-
-
 @query(f"select app_id, session_id, events_count from se where last_event_at >= {_S} order by events_count desc, session_id desc, app_id desc limit 50")
-def sessions_page(spark, d):
+def sessions_list(spark, d):
     return search.listing(views.sessions(spark, d), Resource.SESSIONS, parse(""), NOW, "events_count").data.select("app_id", "session_id", "events_count")
 
 
@@ -197,7 +192,7 @@ def session_timeline(spark, d):
 @query("select key, count(*) as n from (select unnest(map_keys(tags)) as key from er0 where tags is not null) group by key")
 def tag_keys(spark, d):
     rows = views.bare_occurrences(spark, d)
-    return entities.tag_keys(rows, 2_000_000_000)
+    return entities.tag_keys(rows)
 
 
 # ---- series and totals (2.5)
@@ -240,9 +235,9 @@ def overview_totals(spark, d):
 
 
 @query(f"""select (select count(*) from ev where occurred_at >= {_S} and {_STAGING}) as events, (select count(*) from er0 where occurred_at >= {_S} and {_STAGING}) as errors, (select count(*) from se where last_event_at >= {_S} and {_STAGING}) as sessions,
- (select count(*) from se where last_event_at >= {_S} and unhandled_errors_count > 0 and {_STAGING}) as crashed_sessions, (select count(*) from pe where last_seen >= {_S} and distinct_id in (select * from m)) as users, (select count(*) from pe where first_seen >= {_S} and distinct_id in (select * from m)) as new_users,
+ (select count(*) from se where last_event_at >= {_S} and unhandled_errors_count > 0 and {_STAGING}) as crashed_sessions, (select count(*) from pe where last_seen >= {_S} and (app_id, distinct_id) in (select * from m)) as users, (select count(*) from pe where first_seen >= {_S} and (app_id, distinct_id) in (select * from m)) as new_users,
  (select count(*) = 0 or count(handled) > 0 from er0 where occurred_at >= {_S} and {_STAGING}) as has_crash_signal
- from (select 1)""".replace("(select * from m)", f"(select distinct_id from ev where occurred_at >= {_S} and {_STAGING} and distinct_id <> '' union select distinct_id from er0 where occurred_at >= {_S} and {_STAGING} and distinct_id <> '' union select distinct_id from se where last_event_at >= {_S} and {_STAGING} and distinct_id <> '')"))
+ from (select 1)""".replace("(select * from m)", f"(select (app_id, distinct_id) from ev where occurred_at >= {_S} and {_STAGING} and distinct_id <> '' union select (app_id, distinct_id) from er0 where occurred_at >= {_S} and {_STAGING} and distinct_id <> '' union select (app_id, distinct_id) from se where last_event_at >= {_S} and {_STAGING} and distinct_id <> '')"))
 def overview_totals_scoped(spark, d):
     ids = [r[0] for r in _env(spark, d).filter("env_name = 'staging'").select("id").collect()]
     return _totals(spark, d, Scope(env=Env.subset(ids)))
@@ -277,7 +272,7 @@ def top_issues_scoped(spark, d):
     return iss.top_issues_scoped(views.issues(spark, d), views.occurrences(spark, d), SINCE, 10, Scope(env=Env("unattributed"))).select("issue_id", "times_seen")
 
 
-@query(f"select count(*) as events, count(distinct nullif(distinct_id, '')) as users, count(distinct nullif(session_id, '')) as sessions from er where occurred_at >= {_S} and level = 'error'")
+@query(f"select count(*) as events, count(distinct (app_id, distinct_id)) filter (distinct_id <> '') as users, count(distinct (app_id, session_id)) filter (session_id <> '') as sessions from er where occurred_at >= {_S} and level = 'error'")
 def occurrence_stats(spark, d):
     return iss.occurrence_stats(_search(spark, d, Resource.OCCURRENCES, "level:error"))
 
@@ -285,7 +280,7 @@ def occurrence_stats(spark, d):
 # ---- users and sessions
 
 _SEEN = "(select app_id, distinct_id, occurred_at from ev where distinct_id <> '' union all select app_id, distinct_id, occurred_at from er0 where distinct_id <> '')"
-_ACTIVE = ", ".join(f"(select count(distinct distinct_id) from (select distinct_id, max(occurred_at) as t from {_SEEN} where occurred_at <= {_N} group by distinct_id) where t >= {_N} - interval {n} day) as {k}" for k, n in (("dau", 1), ("wau", 7), ("mau", 30)))
+_ACTIVE = ", ".join(f"(select count(*) from (select app_id, distinct_id, max(occurred_at) as t from {_SEEN} where occurred_at <= {_N} group by all) where t >= {_N} - interval {n} day) as {k}" for k, n in (("dau", 1), ("wau", 7), ("mau", 30)))
 _SESSION_STATS = f"select count(*) as sessions, count(*) filter (unhandled_errors_count > 0) as crashed, round(avg(duration_ms), 3) as avg_session_ms, round(quantile_cont(duration_ms, 0.5), 6) as median_session_ms from se where last_event_at >= {_S}"
 _USER_STATS = f"select *, case when mau = 0 then 0.0 else dau / mau end as stickiness from (select (select count(*) from pe) as total_users, (select count(*) from pe where last_seen >= {_S}) as active_in_range, (select count(*) from pe where first_seen >= {_S}) as new_in_range, {_ACTIVE}, s.avg_session_ms, s.median_session_ms from ({_SESSION_STATS}) s)"
 
@@ -300,7 +295,7 @@ def stickiness(spark, d):
     return user_stats(spark, d).select("stickiness")
 
 
-@query(f"select day, coalesce(active_users, 0) as active_users, coalesce(new_users, 0) as new_users from (select {_DAY} as day, count(distinct distinct_id) as active_users from {_SEEN} where occurred_at >= {_S} group by 1) full join (select cast(first_seen at time zone 'UTC' as date) as day, count(*) as new_users from pe where first_seen >= {_S} group by 1) using (day)")
+@query(f"select day, coalesce(active_users, 0) as active_users, coalesce(new_users, 0) as new_users from (select {_DAY} as day, count(distinct (app_id, distinct_id)) as active_users from {_SEEN} where occurred_at >= {_S} group by 1) full join (select cast(first_seen at time zone 'UTC' as date) as day, count(*) as new_users from pe where first_seen >= {_S} group by 1) using (day)")
 def active_user_series(spark, d):
     return users.active_user_series(views.persons(spark, d), views.events(spark, d), views.bare_occurrences(spark, d), SINCE)
 
@@ -335,7 +330,7 @@ def session_duration_histogram(spark, d):
 
 # ---- behaviour
 
-_FUNNEL = "".join([f", f0 as (select distinct_id, min(occurred_at) as t from ev where name = '{STEPS[0]}' and distinct_id <> '' and occurred_at >= {_S} group by 1)"] + [f", f{i} as (select distinct_id, min(occurred_at) as t from ev join f{i - 1} p using (distinct_id) where name = '{s}' and occurred_at >= p.t and occurred_at >= {_S} group by 1)" for i, s in enumerate(STEPS) if i])
+_FUNNEL = "".join([f", f0 as (select app_id, distinct_id, min(occurred_at) as t from ev where name = '{STEPS[0]}' and distinct_id <> '' and occurred_at >= {_S} group by all)"] + [f", f{i} as (select app_id, distinct_id, min(occurred_at) as t from ev join f{i - 1} p using (app_id, distinct_id) where name = '{s}' and occurred_at >= p.t and occurred_at >= {_S} group by all)" for i, s in enumerate(STEPS) if i])
 _FUNNEL_ROWS = " union all ".join(f"select {i} as step, '{s}' as name, (select count(*) from f{i}) as n, (select count(*) from f{i}) / (select count(*) from f0) as from_start, (select count(*) from f{i}) / (select count(*) from f{max(0, i - 1)}) as from_previous" for i, s in enumerate(STEPS))
 
 
@@ -370,12 +365,12 @@ def screen_dwell(spark, d):
     return behaviour.dwell(views.events(spark, d), SINCE).select("screen", F.round("dwell_ms", 3).alias("dwell_ms"), "gaps")
 
 
-@query(f"select screen, views, events, exceptions, users, round(case when views = 0 then 0 else coalesce(dwell_ms, 0) / views end, 3) as avg_dwell_ms from (select screen, count(*) filter (k = 'v') as views, count(*) filter (k = 'e') as events, count(*) filter (k = 'x') as exceptions, count(distinct nullif(distinct_id, '')) as users from (select screen, distinct_id, case when name = '$screen' then 'v' else 'e' end as k from ev where occurred_at >= {_S} and screen is not null union all select screen, distinct_id, 'x' from er0 where occurred_at >= {_S} and screen is not null) group by screen) left join {_DWELL} using (screen)")
+@query(f"select screen, views, events, exceptions, users, round(case when views = 0 then 0 else coalesce(dwell_ms, 0) / views end, 3) as avg_dwell_ms from (select screen, count(*) filter (k = 'v') as views, count(*) filter (k = 'e') as events, count(*) filter (k = 'x') as exceptions, count(distinct (app_id, distinct_id)) filter (distinct_id <> '') as users from (select screen, app_id, distinct_id, case when name = '$screen' then 'v' else 'e' end as k from ev where occurred_at >= {_S} and screen is not null union all select screen, app_id, distinct_id, 'x' from er0 where occurred_at >= {_S} and screen is not null) group by screen) left join {_DWELL} using (screen)")
 def screen_list(spark, d):
     return behaviour.screen_list(views.events(spark, d), views.bare_occurrences(spark, d), SINCE)
 
 
-@query(f"select screen, family, count(*) as n, count(distinct nullif(distinct_id, '')) as users from (select app_id, screen, device_key, distinct_id from ev where occurred_at >= {_S} and screen is not null union all select app_id, screen, device_key, distinct_id from er0 where occurred_at >= {_S} and screen is not null) left join devices using (app_id, device_key) group by all")
+@query(f"select screen, family, count(*) as n, count(distinct (app_id, distinct_id)) filter (distinct_id <> '') as users from (select app_id, screen, device_key, distinct_id from ev where occurred_at >= {_S} and screen is not null union all select app_id, screen, device_key, distinct_id from er0 where occurred_at >= {_S} and screen is not null) left join devices using (app_id, device_key) group by all")
 def screen_people(spark, d):
     return behaviour.screen_people(views.events(spark, d), views.bare_occurrences(spark, d), views.devices(spark, d), SINCE)
 
@@ -383,7 +378,7 @@ def screen_people(spark, d):
 _RUNS = f"(select *, case when status = 'active' and last_event_at < {_N} - interval 30 minute then 'abandoned' else status end as s, case when status = 'finished' then (epoch_us(ended_at) - epoch_us(started_at)) / 1000 end as ms from wf)"
 
 
-@query("select name, count(*) as runs, " + ", ".join(f"count(*) filter (s = '{s}') as {s}" for s in ("finished", "failed", "active", "abandoned")) + f", count(distinct nullif(distinct_id, '')) as unique_users, round(quantile_cont(ms, 0.5), 6) as median_ms, round(quantile_cont(ms, 0.95), 6) as p95_ms, round(count(*) filter (s = 'finished') / count(*), 6) as completion_rate from {_RUNS} group by name")
+@query("select name, count(*) as runs, " + ", ".join(f"count(*) filter (s = '{s}') as {s}" for s in ("finished", "failed", "active", "abandoned")) + f", count(distinct (app_id, distinct_id)) filter (distinct_id <> '') as unique_users, round(quantile_cont(ms, 0.5), 6) as median_ms, round(quantile_cont(ms, 0.95), 6) as p95_ms, round(count(*) filter (s = 'finished') / count(*), 6) as completion_rate from {_RUNS} group by name")
 def workflow_list(spark, d):
     return behaviour.workflow_list(views.workflows(spark, d), NOW)
 
@@ -487,7 +482,7 @@ def tier_counts_by_day(spark, d):
     return tier.counts_by_day(_tiered(spark, d))
 
 
-@query(f"select {_DAY} as day, count(distinct distinct_id) as users from ev where {_IN} and distinct_id <> '' group by 1")
+@query(f"select {_DAY} as day, count(distinct (app_id, distinct_id)) as users from ev where {_IN} and distinct_id <> '' group by 1")
 def tier_distinct_by_day(spark, d):
     return tier.distinct_by_day(_tiered(spark, d))
 
@@ -501,7 +496,7 @@ def _aliases(spark, d):
     return p.groupBy("app_id", F.concat(F.lit("anon_"), F.right("distinct_id", F.lit(12))).alias("alias_id")).agg(F.min("distinct_id").alias("distinct_id"))
 
 
-@query(f"select {_DAY} as day, count(distinct coalesce(a.distinct_id, ev.distinct_id)) as users from ev left join {_ALIASES} a on a.app_id = ev.app_id and a.alias_id = ev.distinct_id where {_IN} and ev.distinct_id <> '' group by 1")
+@query(f"select {_DAY} as day, count(distinct (ev.app_id, coalesce(a.distinct_id, ev.distinct_id))) as users from ev left join {_ALIASES} a on a.app_id = ev.app_id and a.alias_id = ev.distinct_id where {_IN} and ev.distinct_id <> '' group by 1")
 def alias_resolved_distinct(spark, d):
     rows = series.since(views.events(spark, d), SINCE).filter(F.col("occurred_at") < F.lit(NOW)).filter("distinct_id <> ''")
     return tier.distinct_by_day(rows, identity.without_chains(_aliases(spark, d)))

@@ -52,11 +52,3 @@ def written(df, name: str):
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df, each: int = 1 << 20):
-    """``df`` over all cores before a costly Python stage, if its input is so small (by the optimizer's estimate, below
-    ``each`` bytes a core) that the scan gives fewer tasks than cores; larger inputs are left as they are split."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * each else df

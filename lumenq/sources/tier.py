@@ -83,7 +83,7 @@ def merge_day_counts(*parts: DataFrame) -> DataFrame:
 
 def distinct_by_day(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     rows = rows if aliases is None else overlay(rows, aliases)
-    return rows.filter("distinct_id <> ''").groupBy(F.to_date("occurred_at").alias("day")).agg(F.count_distinct("distinct_id").alias("users"))
+    return rows.filter("distinct_id <> ''").groupBy(F.to_date("occurred_at").alias("day")).agg(F.count_distinct("app_id", "distinct_id").alias("users"))
 
 
 def concatenated_distinct(hot: DataFrame, cold: DataFrame, watermark: dt.datetime) -> DataFrame:

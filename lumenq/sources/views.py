@@ -51,23 +51,38 @@ def client_fingerprint(c: str = "fingerprint") -> Column:
     return F.when(joined != "", F.sha2(joined, 256))
 
 
-def bare_occurrences(spark: SparkSession, d: str) -> DataFrame:
-    """Error rows without their issues."""
-    null = "cast(null as string)"
+_NULL = "cast(null as string)"
+
+
+def _error_legs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Error rows of node, which have fingerprints, and of js, which have none."""
     common = ["delivery_id as id", "app_id", "environment_id", "distinct_id", "session_id", "release", "tags", "timestamp as occurred_at", "received_at"]
+    rest = f"{_NULL} as workflow_id", f"{_NULL} as workflow_name", f"{_NULL} as symbolication_status"
     node = table(spark, d, "node").filter("type = 'error' and timestamp is not null").withColumn("fp", client_fingerprint())
-    node = node.selectExpr(*common, f"{null} as screen", f"{null} as device_key", "fp as fingerprint", "level", "message", "exception.type as exception_type", "exception.value as exception_value", "exception.stacktrace as stacktrace", "exception.mechanism.handled as handled", f"{null} as extra")
+    node = node.selectExpr(*common, f"{_NULL} as screen", f"{_NULL} as device_key", "fp as fingerprint", "level", "message", "exception.type as exception_type", "exception.value as exception_value", "exception.stacktrace as stacktrace", "exception.mechanism.handled as handled", f"{_NULL} as extra", *rest)
     kind = node.schema["stacktrace"].dataType.simpleString()
     js = table(spark, d, "js").filter("type = 'error' and timestamp is not null")
-    js = js.selectExpr(*common, "screen", "device_key", f"{null} as fingerprint", f"{null} as level", f"{null} as message", f"{null} as exception_type", f"{null} as exception_value", f"cast(null as {kind}) as stacktrace", "cast(null as boolean) as handled", "properties as extra")
-    both = node.unionByName(js)
-    return both.selectExpr("*", f"{null} as workflow_id", f"{null} as workflow_name", f"{null} as symbolication_status")
+    js = js.selectExpr(*common, "screen", "device_key", f"{_NULL} as fingerprint", f"{_NULL} as level", f"{_NULL} as message", f"{_NULL} as exception_type", f"{_NULL} as exception_value", f"cast(null as {kind}) as stacktrace", "cast(null as boolean) as handled", "properties as extra", *rest)
+    return node, js
+
+
+def bare_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """Error rows without their issues."""
+    node, js = _error_legs(spark, d)
+    return node.unionByName(js)
 
 
 def occurrences(spark: SparkSession, d: str) -> DataFrame:
-    """Error rows with issue_id, null where no issue is established."""
-    i = issues(spark, d).select("app_id", "fingerprint", F.col("id").alias("issue_id"))
-    return bare_occurrences(spark, d).join(i, ["app_id", "fingerprint"], "left")
+    """Error rows with issue_id, null where no issue is established.
+
+    Rows without a fingerprint have a key of their own in the join, so they don't meet in one task; a hot fingerprint is
+    on the preserved side, which Spark splits if it doesn't send the issues to all tasks. Rows of js never join.
+    """
+    i = issues(spark, d).select("app_id", F.col("fingerprint").alias("_key"), F.col("id").alias("issue_id"))
+    node, js = _error_legs(spark, d)
+    keyed = node.withColumn("_key", F.coalesce("fingerprint", F.concat(F.lit("-"), "id")))
+    found = keyed.join(i, ["app_id", "_key"], "left").drop("_key")
+    return found.unionByName(js.withColumn("issue_id", F.lit(None).cast(i.schema["issue_id"].dataType)))
 
 
 def current_issues(spark: SparkSession, d: str) -> DataFrame:
