@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field as default
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenq.operators.latency import METRICS, metric
@@ -103,6 +105,35 @@ def _occurred(issues: DataFrame, occurrences: DataFrame, scope: Scope) -> DataFr
     return issues.join(seen, "id", "left_semi")
 
 
+def evaluate(kind: str, c: Condition, now: dt.datetime, last_eval: dt.datetime | None, scope: Scope = ALL, *, issues: DataFrame | None = None, errors: DataFrame | None = None, events: DataFrame | None = None, transactions: DataFrame | None = None, changes: DataFrame | None = None) -> DataFrame:
+    """One rule of any of the eight kinds: (app_id, subject, value), a row for each app, issue or monitor that fires.
+
+    Kinds that watch for something to happen (new and returned issues, monitors that went down or up) take what lies
+    in (last_eval, now], reaching back no further than the rule's window, and ``FEW`` of it at most; without a
+    last evaluation, the window. The others compare the window [now - w, now] as a whole.
+    """
+    since = now - dt.timedelta(seconds=c.window_s)
+    start = since if last_eval is None else max(since, last_eval)
+    if kind in ("issue_new", "issue_regression"):
+        found = new_issues(issues, errors, start, now, scope, c.level) if kind == "issue_new" else regressions(issues, errors, start, now, scope)
+        return found.select("app_id", F.col("id").alias("subject"), F.col("times_seen").cast("double").alias("value"))
+    if kind in ("monitor_down", "monitor_up"):
+        t = F.col("at")
+        hit = changes.filter((F.col("target") == kind.removeprefix("monitor_")) & F.col("fires") & (t > F.lit(start)) & (t <= F.lit(now)))
+        return hit.orderBy(F.desc("at"), "monitor_id").limit(FEW).select(F.lit(None).cast("string").alias("app_id"), F.col("monitor_id").alias("subject"), F.lit(1.0).alias("value"))
+    if kind == "error_threshold":
+        found = threshold(errors, now, c, scope)
+    elif kind == "event_threshold":
+        found = threshold(events, now, c, scope)
+    elif kind == "error_spike":
+        found = spike(errors, now, c, scope).withColumnRenamed("current", "value")
+    elif kind == "perf_degradation":
+        found = latency(transactions, now, c, scope)
+    else:
+        raise ValueError(kind)
+    return found.filter("fires").select("app_id", F.col("app_id").alias("subject"), F.col("value").cast("double").alias("value"))
+
+
 def quiet(minute: int, start: int, end: int) -> bool:
     """Whether a minute of the day is in [start, end), which may wrap past midnight; of no width it never is."""
     if start == end:
@@ -145,13 +176,34 @@ def coalesce(wanted: Iterable[tuple[str, str, Condition, tuple[str, ...], str]])
 def throttle(alerts: DataFrame, seconds: int, key: str = "dedup_key", at: str = "at") -> DataFrame:
     """Alerts that pass: of each key the first, then the first after each pause of ``seconds`` since one that passed.
 
-    Which pass depends on those before, so a key's times are folded in order in one expression.
+    Which pass depends on those before: keys are sorted by time and scanned once, with one time of memory; of a key's
+    times only those that pass are looked at one by one. A null time never passes.
     """
-    us = F.unix_micros(F.col(at))
-    lists = alerts.groupBy(key).agg(F.sort_array(F.collect_set(us)).alias("ts"))
-    none = F.array().cast("array<bigint>")
-    step = lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= seconds * 1_000_000), F.concat(acc, F.array(t))).otherwise(acc)
-    return lists.select(key, F.explode(F.aggregate("ts", none, step)).alias("us")).select(key, F.timestamp_micros("us").alias(at))
+    step = seconds * 1_000_000
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: object = scan
+        last = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0).dictionary_encode()
+            codes, us = keys.indices.fill_null(-1).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(us)]
+            passed: list[int] = []
+            for a, z in zip(cuts, cuts[1:]):
+                k = b.column(0)[a].as_py()
+                i = a if k != held else a + int(np.searchsorted(us[a:z], last + step))
+                held = k
+                while i < z:
+                    passed.append(i)
+                    last = int(us[i])
+                    i = a + int(np.searchsorted(us[a:z], last + step))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(passed, pa.int64())), b.column(1).take(pa.array(passed, pa.int64()))], names=["k", "us"])
+
+    rows = alerts.select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(at)).alias("us")).filter("us is not null")
+    out = rows.repartition("k").sortWithinPartitions("k", "us").mapInArrow(scan, "k string, us bigint")
+    return out.select(F.col("k").alias(key), F.timestamp_micros("us").alias(at))
 
 
 def digest(pending: DataFrame, reach: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenq.functions.ids import packed_order
+from lumenq.session import written
 
 
 def first_deliveries(df: DataFrame, ident: Column, received: str = "received_at", key: str = "delivery_id", valid: Column | None = None) -> DataFrame:
@@ -33,13 +34,17 @@ def removed_deliveries(df: DataFrame, ident: Column, received: str = "received_a
     return df.filter(ident.isNotNull() if valid is None else valid).select(key).join(first, key, "left_anti")
 
 
-def keep_first(df: DataFrame, ident: Column, received: str = "received_at", key: str = "delivery_id") -> DataFrame:
+def keep_first(df: DataFrame, ident: Column, received: str = "received_at", key: str = "delivery_id", valid: Column | None = None) -> DataFrame:
     """``df`` with exactly one row per identifier: the first by (received, key); rows without identifier all stay.
 
-    Ties in (received, key) and fully repeated rows leave one row. Columns of any name and type are carried in one
-    struct, so none can clash. An empty table gives an empty table.
+    Keys of the removed rows are found first, from identifiers and keys alone, and written; whole rows then meet only
+    these, so no row is carried in an aggregate. Spark sends the keys to all tasks if the written table is small enough for
+    that, and else joins on the key. ``key`` is unique per delivery: of rows that repeat a key one stays. Columns may have
+    any name and type. An empty table gives an empty table.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rows = df.select(ident.alias("i"), whole.alias("row"), F.struct(F.col(received).isNull(), F.col(received), F.col(key)).alias("o"))
-    kept = rows.filter("i is not null").groupBy("i").agg(F.min_by("row", "o").alias("row"))
-    return kept.select("row").unionByName(rows.filter("i is null").select("row")).select("row.*")
+    gone = written(removed_deliveries(df, ident, received, key, valid), "removed")
+    kept = df.join(gone, key, "left_anti")
+    again = written(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key), "repeated")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key])).select(*[F.col(f"`{c}`") for c in df.columns])

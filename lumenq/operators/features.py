@@ -7,10 +7,11 @@ two brings the partial statistics of an entity together, merges them, and expand
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenq.functions.ids import packed_key, packed_order, packed_us
 from lumenq.operators.skew import estimate_loads
+from lumenq.session import written
 
 MAX_TYPES = 20_000
 
@@ -55,10 +56,19 @@ def feature_table(df: DataFrame, entity: list[str], kind: str, types: list[str]
     ``counts[i]`` is the number of rows of the i-th type of the complete sorted list (0 if none), ``last_by_type[i]``
     its latest time in microseconds (null if none). Rows with a null type count in n_events and last_us only.
     """
-    types = type_list(df, kind) if types is None else types
     stats = typed_stats(df, entity, kind, **kw)
-    have = F.map_from_entries(F.collect_list(F.when(F.col(kind).isNotNull(), F.struct(kind, F.struct("n", "last_us")))))
-    rows = stats.groupBy(*entity).agg(F.sum("n").alias("n_events"), F.max("last_us").alias("last_us"), have.alias("have"))
-    every = F.transform(F.lit(types) if types else F.array().cast("array<string>"), lambda t: F.try_element_at("have", t))
-    rows = rows.withColumn("every", every)
-    return rows.select(*entity, "n_events", "last_us", F.transform("every", lambda s: F.coalesce(s["n"], F.lit(0).cast("bigint"))).alias("counts"), F.transform("every", lambda s: s["last_us"]).alias("last_by_type"))
+    if types is None:
+        stats = written(stats, "typed-stats")  # read twice: for its types and for its rows
+        types = type_list(stats, kind)
+    index = df.sparkSession.createDataFrame(pa.table({kind: pa.array(types, pa.string()), "_i": pa.array(range(len(types)), pa.int32())}))
+    slot = F.when(F.col("_i").isNotNull(), F.struct("_i", "n", "last_us"))
+    have = F.sort_array(F.collect_list(slot)).alias("have")  # at most one a type
+    rows = stats.join(F.broadcast(index), kind, "left").groupBy(*entity).agg(F.sum("n").alias("n_events"), F.max("last_us").alias("last_us"), have)
+    return rows.select(*entity, "n_events", "last_us", _dense("n", F.lit(0).cast("bigint"), len(types)).alias("counts"), _dense("last_us", F.lit(None).cast("bigint"), len(types)).alias("last_by_type"))
+
+
+def _dense(field: str, missing: Column, width: int) -> Column:
+    """The slots of ``have`` spread out: before each one as many ``missing`` as types lie between, in one pass."""
+    before = lambda j: F.coalesce(F.get(F.col("have"), j - 1)["_i"], F.lit(-1))
+    parts = F.flatten(F.transform("have", lambda x, j: F.concat(F.array_repeat(missing, x["_i"] - before(j) - 1), F.array(x[field]))))
+    return F.concat(parts, F.array_repeat(missing, F.lit(width - 1) - before(F.size("have"))))

@@ -86,7 +86,8 @@ def _with_task(df: DataFrame, plan: LoadPlan, key: list[Column], spread: Column
     spark = df.sparkSession
     table = pa.table({"_h": pa.array(list(plan.heavy), pa.int64()), "_shards": pa.array(list(plan.heavy.values()), pa.list_(pa.int32()))})
     heavy = F.broadcast(spark.createDataFrame(table))  # at most HEAVY_PER_TASK keys a task
-    bins = F.lit(plan.bins)
+    # one literal, whatever the number of tasks; an array of literals would be as many expressions
+    bins = F.from_json(F.lit(str(plan.bins)), "array<int>")
     rows = df.withColumn("_h", F.xxhash64(*key)).join(heavy, "_h", "left")
     light = F.element_at(bins, (F.pmod("_h", F.lit(len(plan.bins))) + 1).cast("int"))
     if spread is not None:
@@ -110,9 +111,10 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, on: list[str], sp
         raise ValueError(f"{how}: a replicated side can't be outer")
     cols = [F.col(k) for k in on]
     plan = plan or plan_loads(left, cols)
-    a = _with_task(left, plan, cols, F.col(spread))
-    b = _with_task(right, plan, cols, None)
-    return a.join(b, ["_task", *on], how).drop("_task")
+    a = _with_task(left, plan, cols, F.col(spread)).repartitionById(plan.tasks, F.col("_task"))
+    b = _with_task(right, plan, cols, None).repartitionById(plan.tasks, F.col("_task"))
+    # the plan places both sides: neither is hashed again, and neither is sent to all tasks
+    return a.join(b.hint("merge"), ["_task", *on], how).drop("_task")
 
 
 def first_last_by_key(df: DataFrame, key: list[str], time: str = "timestamp", row: str = "delivery_id") -> DataFrame:

@@ -95,18 +95,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_kept_js(spark: SparkSession, d: str) -> DataFrame:
     """What stays of js, with all its columns."""
-    return dedupe.keep_first(table(spark, d, "js"), uuid_key("event_id"))
+    return dedupe.keep_first(table(spark, d, "js"), uuid_bytes("event_id"), valid=is_uuid("event_id"))
 
 
 def p7_kept_node(spark: SparkSession, d: str) -> DataFrame:
     """What stays of node, with all its columns."""
-    return dedupe.keep_first(table(spark, d, "node"), uuid_key("event_id"))
+    return dedupe.keep_first(table(spark, d, "node"), uuid_bytes("event_id"), valid=is_uuid("event_id"))
 
 
 def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     """What stays of both tables, in the columns they share."""
     cols = ["delivery_id", "batch_id", "app_id", "environment_id", "type", "event_id", "name", "distinct_id", "session_id", "timestamp", "sent_at", "received_at", "release"]
-    legs = [dedupe.keep_first(table(spark, d, t).select(*cols), uuid_key("event_id")).select(F.lit(t).alias("src"), "*") for t in ("js", "node")]
+    legs = [dedupe.keep_first(table(spark, d, t).select(*cols), uuid_bytes("event_id"), valid=is_uuid("event_id")).select(F.lit(t).alias("src"), "*") for t in ("js", "node")]
     return legs[0].unionByName(legs[1])
 
 

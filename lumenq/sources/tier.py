@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenq.operators.identity import overlay
 from lumenq.plans.tier import Range, months, plan
+from lumenq.scope import Scope
 
 MAX_DAYS = 400
 
@@ -83,7 +84,8 @@ def merge_day_counts(*parts: DataFrame) -> DataFrame:
 
 def distinct_by_day(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     rows = rows if aliases is None else overlay(rows, aliases)
-    return rows.filter("distinct_id <> ''").groupBy(F.to_date("occurred_at").alias("day")).agg(F.count_distinct("app_id", "distinct_id").alias("users"))
+    who = [c for c in ("app_id", "distinct_id") if c in rows.columns]  # a frame of one app may come without it
+    return rows.filter("distinct_id <> ''").groupBy(F.to_date("occurred_at").alias("day")).agg(F.count_distinct(*who).alias("users"))
 
 
 def concatenated_distinct(hot: DataFrame, cold: DataFrame, watermark: dt.datetime) -> DataFrame:
@@ -102,6 +104,34 @@ def counts_by_key(rows: DataFrame, key: str, among: DataFrame | None = None) ->
     return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("occurred_at").alias("first"), F.max("occurred_at").alias("last"))
 
 
+def count_range(rows: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
+    """(n): rows in [start, end)."""
+    return _within(rows, [(start, end)]).agg(F.count(F.lit(1)).alias("n"))
+
+
+def counts_by_app(rows: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
+    """(app_id, n) of [start, end)."""
+    return _within(rows, [(start, end)]).groupBy("app_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_restorable(cold: DataFrame, wanted: Range, live: DataFrame, key: str = "id") -> DataFrame:
+    """(n): cold rows of a range that a restore would bring back, being not in the live table (as restored before)."""
+    there = _within(live, [wanted]).select(key)
+    return _within(cold, [wanted]).join(there, key, "left_anti").agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_in_purge_scope(rows: DataFrame, scope: Scope, start: dt.datetime | None = None, end: dt.datetime | None = None, distinct_ids: Iterable[str] | None = None) -> DataFrame:
+    """(n): rows a purge would take: in scope, in [start, end) as far as given, of the persons given."""
+    rows = scope.apply(rows)
+    if start is not None:
+        rows = rows.filter(F.col("occurred_at") >= F.lit(start))
+    if end is not None:
+        rows = rows.filter(F.col("occurred_at") < F.lit(end))
+    if distinct_ids is not None:
+        rows = rows.filter(F.col("distinct_id").isin(*distinct_ids))
+    return rows.agg(F.count(F.lit(1)).alias("n"))
+
+
 def restore(spark: SparkSession, path: str, live_schema, wanted: Range, pin: str) -> DataFrame:
     """Cold rows of a range in the live table's columns and types, tagged with the pin that keeps them hot."""
     return read(spark, path, live_schema, [wanted]).withColumn("restore_pin", F.lit(pin))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,19 +17,21 @@ def _fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd
     if state.hasTimedOut:
         state.remove()
         return
-    times, texts = state.get if state.exists else ([], [])
+    times, texts = map(deque, state.get if state.exists else ([], []))
     out = []
     rows = pd.concat(list(frames)).sort_values(["us", "kind"])
     for us, kind, text in zip(rows["us"], rows["kind"], rows["text"]):
-        fresh = [i for i, t in enumerate(times) if t >= us - TTL_MS * 1000]
-        times, texts = [times[i] for i in fresh], [texts[i] for i in fresh]
+        while times and (times[0] < us - TTL_MS * 1000 or len(times) > KEEP):
+            times.popleft(), texts.popleft()
         if kind == "crumb":
-            times, texts = [*times, int(us)][-KEEP:], [*texts, text][-KEEP:]
+            times.append(int(us)), texts.append(text)
         else:
-            out.append((*key, text, int(us), list(texts)))
-            times, texts = [], []
+            out.append((*key, text, int(us), list(texts)[-KEEP:]))
+            times.clear(), texts.clear()
+    while len(times) > KEEP:
+        times.popleft(), texts.popleft()
     if times:
-        state.update((times, texts))
+        state.update((list(times), list(texts)))
         state.setTimeoutDuration(TTL_MS)
     elif state.exists:
         state.remove()
