@@ -26,8 +26,12 @@ TEXT_COLUMNS = {
     Resource.EVENTS: (("name", "distinct_id"), ("contexts", "extra", "properties", "tags")),
     Resource.SESSIONS: (("session_id", "distinct_id", "device_key", "release"), ("context",)),
     Resource.TRANSACTIONS: (("name", "url"), ("tags", "extra")),
+    Resource.PERSONS: (("distinct_id",), ("properties",)),
+    Resource.DEVICES: (("device_key", "family", "model", "os_name", "browser"), ()),
 }
-BODY = {"contexts", "extra", "properties", "tags", "context", "event_user", "stacktrace", "breadcrumbs"}
+# What is withheld, from output and from predicates, where event bodies may not be read. An event's
+# properties and a person's traits are no part of a body.
+BODY = {"stacktrace", "stacktrace_symbolicated", "breadcrumbs", "context", "contexts", "extra", "tags", "sdk", "debug_meta", "event_user", "ip_address", "culprit"}
 _FLIP = {"gt": "lte", "gte": "lt", "lt": "gte", "lte": "gt"}
 _COMPARE = {"gt": Column.__gt__, "gte": Column.__ge__, "lt": Column.__lt__, "lte": Column.__le__}
 
@@ -158,7 +162,7 @@ class Lowerer:
         f = t.field
         if f.store == "rollup":
             raise QueryError("not_searchable", f"{f.name} on {self.resource.name.lower()}", t.at)
-        if f.column in BODY and f.store != "tag" and not self.ctx.body:
+        if f.column in BODY and (f.store != "column" or self.resource is not Resource.ISSUES) and not self.ctx.body:
             raise QueryError("withheld", f.name, t.at)
         issues = self.resource is Resource.ISSUES
         if f.store == "tag":

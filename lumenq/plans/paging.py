@@ -42,7 +42,7 @@ class Sort:
 @dataclass(frozen=True)
 class Cursor:
     key: str
-    value: dt.datetime | str
+    value: dt.datetime | str | None
     id: str
     also: tuple[str, ...] = ()
 
@@ -50,7 +50,7 @@ class Cursor:
         if isinstance(self.value, dt.datetime):
             v = "t:" + self.value.astimezone(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
         else:
-            v = "s:" + self.value
+            v = "n:" if self.value is None else "s:" + self.value
         return base64.urlsafe_b64encode("|".join((self.key, self.id, *self.also, v)).encode()).decode().rstrip("=")
 
     @staticmethod
@@ -69,6 +69,8 @@ class Cursor:
                 raise QueryError("bad_cursor", "id") from e
         if got != key:
             raise QueryError("bad_cursor", f"of a list sorted by {got}, not {key}")
+        if kind == "n:" and not v:
+            return Cursor(key, None, ident, tuple(more))
         if kind not in ("t:", "s:") or (kind == "t:") != temporal:
             raise QueryError("bad_cursor", "kind")
         if not temporal:
@@ -87,6 +89,8 @@ def after(sort: Sort, cursor: Cursor) -> Column:
     for name, value in zip(sort.also, cursor.also):
         c, x = F.col(name).cast("string"), F.lit(value)
         behind, same = behind | (same & (c < x if sort.down else c > x)), same & (c == x)
+    if cursor.value is None:  # among the nulls, which come last
+        return k.isNull() & behind
     return (k < v if sort.down else k > v) | ((k == v) & behind) | k.isNull()
 
 
@@ -119,7 +123,7 @@ class Listing:
         rows = [r.asDict(recursive=True) for r in self.data.collect()]
         total = self.count.first()
         cursor = None
-        if len(rows) == self.limit and rows[-1][self.sort.key] is not None:
+        if len(rows) == self.limit:
             v = rows[-1][self.sort.key]
-            cursor = Cursor(self.sort.key, v if isinstance(v, (dt.datetime, str)) else str(v), str(rows[-1][self.sort.tie]), tuple(str(rows[-1][c]) for c in self.sort.also)).encode()
+            cursor = Cursor(self.sort.key, v if v is None or isinstance(v, (dt.datetime, str)) else str(v), str(rows[-1][self.sort.tie]), tuple(str(rows[-1][c]) for c in self.sort.also)).encode()
         return {"data": rows, "total": total["total"], "total_is_capped": total["total_is_capped"], "next_cursor": cursor, "clamped": self.clamped}

@@ -142,6 +142,40 @@ SQL["issue_text"] = SQL["issue_text"].replace("issues where last_seen >= timesta
 
 # ---- lists and paging (2.4)
 
+def _paged(df: DataFrame, resource: Resource, text: str, sort: str, days: int, size: int, pages: int) -> DataFrame:
+    """The first pages of a list one after another, each from the cursor of the one before, as (page, *row)."""
+    out, cursor = None, None
+    for i in range(pages):
+        s = search.listing(df, resource, parse(text), NOW, sort, size, cursor, days=days)
+        part = s.data.withColumn("page", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+        cursor = s.envelope()["next_cursor"]
+        if cursor is None:
+            break
+    return out
+
+
+@query("select app_id, distinct_id, events_count, sessions_count from pe where last_seen >= timestamptz '2022-01-16 00:00:00+00' and distinct_id ilike 'usr%' order by events_count desc, distinct_id desc, app_id desc limit 50")
+def persons_search(spark, d):
+    return search.listing(views.persons(spark, d), Resource.PERSONS, parse("distinctId:usr*"), NOW, "events_count", 50, days=365).data.select("app_id", "distinct_id", "events_count", "sessions_count")
+
+
+@query(cte=False, sql="select app_id, device_key, family, browser from devices where last_seen >= timestamptz '2022-12-17 00:00:00+00' and os_name ilike '%o%' and family is not null order by browser nulls last, device_key, app_id limit 50")
+def devices_search(spark, d):
+    return search.listing(views.device_list(spark, d), Resource.DEVICES, parse("os.name:~o has:device.family"), NOW, "-browser", 50).data.select("app_id", "device_key", "family", "browser")
+
+
+@query(f"select least(count(*), 10000) as total, count(*) > 10000 as total_is_capped from pe where last_seen >= {_S}")
+def persons_count(spark, d):
+    return search.listing(views.persons(spark, d), Resource.PERSONS, parse(""), NOW).count
+
+
+@query(cte=False, sql="select cast((row_number() over (order by browser desc nulls last, device_key desc, app_id desc) - 1) // 100 as int) as page, app_id, device_key, browser from devices where last_seen >= timestamptz '2022-01-16 00:00:00+00' qualify page < 8")
+def devices_pages(spark, d):
+    """Eight pages of a hundred by a key that is often null, each from the cursor of the one before."""
+    rows = views.devices(spark, d).withColumns({"sessions_count": F.lit(0), "distinct_id": F.lit(None).cast("string")})
+    return _paged(rows, Resource.DEVICES, "", "browser", 365, 100, 8).select("page", "app_id", "device_key", "browser")
+
 @query(f"select id, name, occurred_at from ev where occurred_at >= {_S} and (name is null or name <> '$screen') order by name desc nulls last, id desc limit 50")
 def events_page_sorted(spark, d):
     return search.listing(views.events(spark, d), Resource.EVENTS, parse(""), NOW, "name", 50).data.select("id", "name", "occurred_at")

@@ -7,7 +7,13 @@ from dataclasses import dataclass, field as default
 
 
 class Resource(enum.Enum):
-    ISSUES, OCCURRENCES, EVENTS, SESSIONS, DEVICES, PERSONS, TRANSACTIONS = "IOESDPT"
+    ISSUES = "issues"
+    OCCURRENCES = "occurrences"
+    EVENTS = "events"
+    SESSIONS = "sessions"
+    DEVICES = "devices"
+    PERSONS = "persons"
+    TRANSACTIONS = "transactions"
 
 
 class Cost(enum.IntEnum):
@@ -42,8 +48,8 @@ SYMBOLICATION = ("pending", "processing", "symbolicated", "failed", "skipped", "
 SHORTHANDS = {"unresolved": ("is", "unresolved"), "resolved": ("is", "resolved"), "ignored": ("is", "ignored"), "handled": ("handled", "true"), "unhandled": ("handled", "false")}
 
 
-def _on(letters: str) -> frozenset[Resource]:
-    return frozenset(map(Resource, letters))
+def _on(names: str) -> frozenset[Resource]:
+    return frozenset(map(Resource, names.split()))
 
 
 def _f(names: str, kind: str, ops: frozenset[str], column: str, on: str, **kw) -> Field:
@@ -59,58 +65,59 @@ def _json(name: str, column: str, on: str, prefix: str = "", **kw) -> Field:
     return _f(name, "str", TEXT, column, on, store="json", prefix=prefix, **kw)
 
 
+# The fields of the language, with their spellings, and where each may be used.
 FIELDS: tuple[Field, ...] = (
-    _f("is status", "enum", EQ, "status", "I", options=STATUSES, **_I),
-    _f("level", "enum", EQ, "level", "IO", options=LEVELS),
-    _f("type", "str", TEXT, "type", "I"),
-    _f("culprit", "str", TEXT, "culprit", "I"),
-    _f("title", "str", TEXT, "title", "I", **_SCAN),
-    _f("timesSeen", "int", ORD, "times_seen", "I"),
-    _f("usersSeen", "int", ORD, "users_seen", "I"),
-    _f("firstSeen", "time", ORD, "first_seen", "I", **_I),
-    _f("lastSeen", "time", ORD, "last_seen", "I", **_I),
-    _f("workflow", "str", WORKFLOW, "workflow_name", "IOE"),
-    _f("environment", "str", EQ, "environment_id", "I", store="rollup"),
-    _f("release", "str", TEXT, "release", "I", store="rollup"),
-    _f("handled", "bool", EQ, "handled", "I", store="rollup"),
-    _f("handled", "bool", EQ, "handled", "O"),
-    _f("environment", "str", EQ, "environment_id", "OES", **_I),
-    _f("release", "str", TEXT, "release", "OES"),
-    _f("distinctId distinct_id", "str", TEXT, "distinct_id", "OEPSTI", **_I),
-    _f("session session_id", "str", TEXT, "session_id", "OEST", **_I),
-    _f("deviceKey", "str", EQ, "device_key", "ODSI", **_I),
-    _f("screen", "str", TEXT, "screen", "IO"),
-    _f("symbolication", "enum", EQ, "symbolication_status", "O", options=SYMBOLICATION),
-    _f("message", "str", TEXT, "message", "O", **_SCAN),
-    _json("context", "context", "OES"),
-    _json("user", "event_user", "O"),
-    _json("sdk", "sdk", "O"),
-    _json("os", "context", "O", "os"),
-    _json("browser", "context", "O", "runtime"),
-    _json("device", "context", "O", "device"),
-    _json("app", "context", "O", "app"),
-    _json("contexts", "contexts", "OE"),
-    _json("extra", "extra", "OET"),
-    _json("properties", "properties", "E"),
-    _json("traits", "properties", "P", **_SCAN),
-    _f("stack", "str", TEXT, "stacktrace", "O", store="json", extra={"array": True}, **_SCAN),
-    _f("name", "str", TEXT, "name", "ET"),
-    _f("op", "str", TEXT, "op", "T"),
-    _f("duration duration_ms", "duration", ORD, "duration_ms", "TS", **_SCAN),
-    _f("url", "str", TEXT, "url", "T", **_SCAN),
-    _f("http.status", "int", ORD, "http_status", "T"),
-    _f("http.method", "str", EQ, "http_method", "T"),
-    _f("browser", "str", TEXT, "browser", "D"),
-    _f("device.family", "str", TEXT, "family", "D"),
-    _f("device.model", "str", TEXT, "model", "D"),
-    _f("device.arch", "str", TEXT, "arch", "D"),
-    _f("os.name", "str", TEXT, "os_name", "D"),
-    _f("os.version", "str", TEXT, "os_version", "D"),
-    _f("startedAt", "time", ORD, "started_at", "S", **_I),
-    _f("eventsCount", "int", ORD, "events_count", "S"),
-    _f("errorsCount", "int", ORD, "errors_count", "S"),
+    _f("is status", "enum", EQ, "status", "issues", options=STATUSES, **_I),
+    _f("level", "enum", EQ, "level", "issues occurrences", options=LEVELS),
+    _f("type", "str", TEXT, "type", "issues"),
+    _f("culprit", "str", TEXT, "culprit", "issues"),
+    _f("title", "str", TEXT, "title", "issues", **_SCAN),
+    _f("timesSeen", "int", ORD, "times_seen", "issues"),
+    _f("usersSeen", "int", ORD, "users_seen", "issues"),
+    _f("firstSeen", "time", ORD, "first_seen", "issues", **_I),
+    _f("lastSeen", "time", ORD, "last_seen", "issues", **_I),
+    _f("workflow", "str", WORKFLOW, "workflow_name", "issues occurrences events"),
+    _f("environment", "str", EQ, "environment_id", "issues", store="rollup"),
+    _f("release", "str", TEXT, "release", "issues", store="rollup"),
+    _f("handled", "bool", EQ, "handled", "issues", store="rollup"),
+    _f("handled", "bool", EQ, "handled", "occurrences"),
+    _f("environment", "str", EQ, "environment_id", "occurrences events sessions", **_I),
+    _f("release", "str", TEXT, "release", "occurrences events sessions"),
+    _f("distinctId distinct_id", "str", TEXT, "distinct_id", "occurrences events persons sessions transactions issues", **_I),
+    _f("session session_id", "str", TEXT, "session_id", "occurrences events sessions transactions", **_I),
+    _f("deviceKey", "str", EQ, "device_key", "occurrences devices sessions issues", **_I),
+    _f("screen", "str", TEXT, "screen", "issues occurrences"),
+    _f("symbolication", "enum", EQ, "symbolication_status", "occurrences", options=SYMBOLICATION),
+    _f("message", "str", TEXT, "message", "occurrences", **_SCAN),
+    _json("context", "context", "occurrences events sessions"),
+    _json("user", "event_user", "occurrences"),
+    _json("sdk", "sdk", "occurrences"),
+    _json("os", "context", "occurrences", "os"),
+    _json("browser", "context", "occurrences", "runtime"),
+    _json("device", "context", "occurrences", "device"),
+    _json("app", "context", "occurrences", "app"),
+    _json("contexts", "contexts", "occurrences events"),
+    _json("extra", "extra", "occurrences events transactions"),
+    _json("properties", "properties", "events"),
+    _json("traits", "properties", "persons", **_SCAN),
+    _f("stack", "str", TEXT, "stacktrace", "occurrences", store="json", extra={"array": True}, **_SCAN),
+    _f("name", "str", TEXT, "name", "events transactions"),
+    _f("op", "str", TEXT, "op", "transactions"),
+    _f("duration duration_ms", "duration", ORD, "duration_ms", "transactions sessions", **_SCAN),
+    _f("url", "str", TEXT, "url", "transactions", **_SCAN),
+    _f("http.status", "int", ORD, "http_status", "transactions"),
+    _f("http.method", "str", EQ, "http_method", "transactions"),
+    _f("browser", "str", TEXT, "browser", "devices"),
+    _f("device.family", "str", TEXT, "family", "devices"),
+    _f("device.model", "str", TEXT, "model", "devices"),
+    _f("device.arch", "str", TEXT, "arch", "devices"),
+    _f("os.name", "str", TEXT, "os_name", "devices"),
+    _f("os.version", "str", TEXT, "os_version", "devices"),
+    _f("startedAt", "time", ORD, "started_at", "sessions", **_I),
+    _f("eventsCount", "int", ORD, "events_count", "sessions"),
+    _f("errorsCount", "int", ORD, "errors_count", "sessions"),
 )
-TAG = _f("tag", "str", TEXT, "tags", "IOET", store="tag", **_I)
+TAG = _f("tag", "str", TEXT, "tags", "issues occurrences events transactions", store="tag", **_I)
 
 _BY_NAME = {(n, r): f for f in FIELDS for n in (f.name, *f.aliases) for r in f.resources}
 

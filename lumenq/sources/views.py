@@ -117,12 +117,18 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def persons(spark: SparkSession, d: str) -> DataFrame:
-    """One row per app and distinct id, identified_at from identify items."""
+    """One row per app and distinct id; identified_at and properties (traits, the latest) from identify items."""
     a = activity(spark, d).filter("distinct_id <> ''").groupBy("app_id", "distinct_id").agg(F.min("occurred_at").alias("first_seen"), F.max("occurred_at").alias("last_seen"), F.sum("is_event").alias("events_count"), F.sum("is_error").alias("errors_count"), F.count_distinct(blank_to_null("session_id")).alias("sessions_count"))
-    known = table(spark, d, "js").filter("type = 'identify' and distinct_id <> ''").groupBy("app_id", "distinct_id").agg(F.min("timestamp").alias("identified_at"))
+    known = table(spark, d, "js").filter("type = 'identify' and distinct_id <> ''").groupBy("app_id", "distinct_id").agg(F.min("timestamp").alias("identified_at"), F.max_by("properties", F.when(F.col("properties").isNotNull(), F.struct("timestamp", "delivery_id"))).alias("properties"))
     return a.join(known, ["app_id", "distinct_id"], "left")
 
 
+def device_list(spark: SparkSession, d: str) -> DataFrame:
+    """Known devices with their sessions and the latest person on them."""
+    own = activity(spark, d).filter("device_key <> ''").groupBy("app_id", "device_key").agg(F.count_distinct(blank_to_null("session_id")).alias("sessions_count"), F.max_by("distinct_id", F.when(F.col("distinct_id") != "", F.struct("occurred_at", "id"))).alias("distinct_id"))
+    return devices(spark, d).join(own, ["app_id", "device_key"], "left").withColumn("sessions_count", F.coalesce("sessions_count", F.lit(0)))
+
+
 def workflows(spark: SparkSession, d: str) -> DataFrame:
     """Runs: started, ended by x_closed or x_completed (finished) or x_failed (failed), else active."""
     e = events(spark, d).filter("workflow_id is not null")

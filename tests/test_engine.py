@@ -127,6 +127,30 @@ def test_keyset_pages_see_every_row_once_despite_ties(spark):
     assert paging.capped_count(df, 50).first() == (50, True) and paging.capped_count(df, 100).first() == (100, False)
 
 
+@pytest.mark.parametrize("sort", ["name", "-name"])
+def test_pages_go_on_among_nulls(spark, sort):
+    rows = [(f"{i:03d}", "a", None, T0, None if i % 8 > 2 else f"n{i % 3}") for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, app_id string, environment_id string, occurred_at timestamp, name string").withColumns({c: F.lit(None).cast("string") for c in ("distinct_id", "contexts", "extra", "properties", "session_id")}).withColumn("tags", F.lit(None).cast("map<string,string>"))
+    got, cursor = [], None
+    while True:
+        e = search.listing(df, Resource.EVENTS, parse(""), T0 + D, sort, 4, cursor).envelope()
+        got += [(r["name"], r["id"]) for r in e["data"]]
+        cursor = e["next_cursor"]
+        if not cursor:
+            break
+    want = sorted(((r[4], r[0]) for r in rows if r[4]), reverse=sort == "name") + sorted(((None, r[0]) for r in rows if not r[4]), key=lambda x: x[1], reverse=sort == "name")
+    assert got == want
+
+
+def test_persons_by_traits_and_devices_by_text(spark):
+    who = spark.createDataFrame([("x", "a", T0, T0, 1, 0, 1, '{"plan": "pro"}'), ("y", "a", T0, T0, 1, 0, 1, '{"plan": "free"}'), ("x", "b", T0, T0, 2, 0, 1, None)], "app_id string, distinct_id string, first_seen timestamp, last_seen timestamp, events_count bigint, errors_count bigint, sessions_count bigint, properties string")
+    e = search.listing(who, Resource.PERSONS, parse("traits.plan:pro"), T0 + D, days=365).envelope()
+    assert [(r["app_id"], r["distinct_id"]) for r in e["data"]] == [("x", "a")]
+    assert [(r["distinct_id"], r["app_id"]) for r in search.listing(who, Resource.PERSONS, parse(""), T0 + D, "-distinct_id").data.collect()] == [("a", "x"), ("a", "y"), ("b", "x")]
+    dev = spark.createDataFrame([("x", "d1", "Pixel", T0), ("x", "d2", None, T0)], "app_id string, device_key string, family string, last_seen timestamp").withColumns({c: F.lit(None).cast("string") for c in ("model", "os_name", "browser", "distinct_id")})
+    assert [r.device_key for r in search.listing(dev, Resource.DEVICES, parse('"pix"'), T0 + D).data.collect()] == ["d1"]
+
+
 def test_listing_envelope(spark):
     rows = [(i, "a", None, T0 + i * H, f"n{i % 3}") for i in range(30)]
     df = spark.createDataFrame(rows, "id bigint, app_id string, environment_id string, occurred_at timestamp, name string").withColumns({c: F.lit(None).cast("string") for c in ("distinct_id", "contexts", "extra", "properties", "session_id")}).withColumn("tags", F.lit(None).cast("map<string,string>"))
@@ -137,8 +161,12 @@ def test_listing_envelope(spark):
 
 
 def test_withheld_body_columns(spark):
-    df = spark.createDataFrame([], "id bigint, app_id string, occurred_at timestamp, properties string, name string, environment_id string")
-    assert code(search.rows, df, Resource.EVENTS, parse("properties.a:1"), T0, body=False) == "withheld"
+    df = spark.createDataFrame([], "id bigint, app_id string, occurred_at timestamp, properties string, contexts string, tags map<string,string>, name string, environment_id string")
+    for q in ("contexts.a:1", "tag.a:1", "has:tag"):
+        assert code(search.rows, df, Resource.EVENTS, parse(q), T0, body=False) == "withheld"
+    found, _ = search.rows(df, Resource.EVENTS, parse("properties.a:1"), T0, body=False)  # no part of a body
+    assert found.columns == ["id", "app_id", "occurred_at", "properties", "name", "environment_id"]
+    assert "tags" in search.rows(df, Resource.EVENTS, parse("tag.a:1"), T0)[0].columns
     assert code(search.rows, df.withColumn("last_seen", F.col("occurred_at")), Resource.ISSUES, parse("release:1"), T0) == "not_searchable"
 
 
@@ -282,6 +310,54 @@ def test_throttle_and_digest(spark):
     assert [tuple(r) for r in alerts.digest(pend, reach).collect()] == [("u", 2, ["m1", "m2"])]
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_throttle_is_the_greedy_scan(spark, parts):
+    r = random.Random(parts)
+    rows = [(r.choice(["hot", "hot", "k", None]), r.randrange(5000)) for _ in range(800)]
+    df = spark.createDataFrame([(k, T0 + t * dt.timedelta(seconds=1)) for k, t in rows] + [("k", None)], "dedup_key string, at timestamp").repartition(parts)
+    want = []
+    for key in ("hot", "k", None):
+        last = None
+        for t in sorted({t for k, t in rows if k == key}):
+            if last is None or t - last >= 90:
+                want.append((key, t))
+                last = t
+    got = [(x.dedup_key, int((x["at"].astimezone(UTC) - T0).total_seconds())) for x in alerts.throttle(df, 90).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_rules_are_evaluated_since_the_last_time(spark):
+    now = T0 + 10 * D
+    at = lambda h: now - h * H
+    issues = spark.createDataFrame([(f"i{k}", "a", "unresolved", "error", at(h), at(0), 3) for k, h in enumerate((1, 3, 30))] + [("r1", "a", "resolved", "error", at(90), at(2), 9)], "id string, app_id string, status string, level string, first_seen timestamp, last_seen timestamp, times_seen bigint")
+    errors = spark.createDataFrame([(i, "a", None, "error", at(h)) for i, h in (("i0", 1), ("i1", 3), ("i2", 30), ("r1", 2), ("x", 1), ("x", 2))], "issue_id string, app_id string, environment_id string, level string, occurred_at timestamp")
+    run = lambda kind, last, c=None, **kw: sorted(r.subject for r in alerts.evaluate(kind, c or alerts.Condition(kind, window_s=86_400), now, last, issues=issues, errors=errors, **kw).collect())
+    assert run("issue_new", at(2)) == ["i0"] and run("issue_new", None) == ["i0", "i1"] and run("issue_new", at(99)) == ["i0", "i1"]
+    assert run("issue_regression", at(3)) == ["r1"] and run("issue_regression", at(1)) == []
+    assert run("error_threshold", at(1), alerts.Condition("error_threshold", 5, 86_400)) == ["a"] and run("error_threshold", at(1), alerts.Condition("error_threshold", 6, 86_400)) == []
+    changes = spark.createDataFrame([("m1", at(1), "up", "down", True), ("m2", at(1), "unknown", "up", False), ("m3", at(1), "down", "up", True)], "monitor_id string, at timestamp, source string, target string, fires boolean")
+    assert run("monitor_down", at(2), changes=changes) == ["m1"] and run("monitor_up", at(2), changes=changes) == ["m3"] and run("monitor_up", at(0), changes=changes) == []
+    tx = spark.createDataFrame([("a", None, "n", 2000.0, at(1))], "app_id string, environment_id string, name string, duration_ms double, occurred_at timestamp")
+    assert run("perf_degradation", None, alerts.Condition("perf_degradation", 1000, 86_400), transactions=tx) == ["a"]
+    with pytest.raises(ValueError):
+        run("nothing", None)
+
+
+@pytest.mark.parametrize("text,yes", [("1.2.3.4", True), ("255.255.255.255", True), ("01.002.3.4", True), ("1.0001.1.1", False), ("10.00255.1.1", False), ("256.1.1.1", False), ("1.2.3", False), ("1.2.3.4.5", False), (" 1.2.3.4 ", True), ("1..3.4", False), ("１.2.3.4", False)])
+def test_ipv4(text, yes):
+    assert pii.DETECTORS["ipv4"](text) is yes
+
+
+def test_tier_counts(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], None if i % 3 else "e", f"u{i % 4}", T0 + i * H) for i in range(48)], "id bigint, app_id string, environment_id string, distinct_id string, occurred_at timestamp")
+    n = lambda df: df.first().n
+    assert n(tier.count_range(rows, T0, T0 + D)) == 24
+    assert {(r.app_id, r.n) for r in tier.counts_by_app(rows, T0, T0 + D).collect()} == {("a", 12), ("b", 12)}
+    assert n(tier.count_restorable(rows, (T0, T0 + D), rows.filter("id < 5"))) == 19
+    assert n(tier.count_in_purge_scope(rows, Scope("a"), end=T0 + D)) == 12 and n(tier.count_in_purge_scope(rows, Scope(), distinct_ids=["u1"])) == 12
+    assert n(tier.count_in_purge_scope(rows, Scope(env=Env("unattributed")), start=T0 + D)) == sum(i % 3 > 0 for i in range(24, 48))
+
+
 def test_spikes(spark):
     rows = [("a", None, T0 + 30 * H)] * 4 + [("a", None, T0 + 5 * H)] + [("b", None, T0 + 30 * H)] * 4
     df = spark.createDataFrame(rows, "app_id string, environment_id string, occurred_at timestamp")
