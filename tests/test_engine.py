@@ -438,6 +438,77 @@ def test_stream_folds_batches_once(spark, tmp_path):
     assert [x.times_seen for x in spark.read.parquet(out + "/issues/batch=1").collect()] == [2]
 
 
+def flow(name, second, **kw):
+    return {"type": "event", "name": name, "workflow_id": "w", "timestamp": f"2023-01-01T00:00:{second:02d}Z", **kw}
+
+
+def test_rollups_of_devices_people_and_workflows(spark, tmp_path):
+    from lumenq.streaming import ingest
+
+    out = str(tmp_path / "out")
+    batches = [
+        [envelope("a", flow("$workflow_start", 1, workflow_name="buy", distinct_id="u1", session_id="s"), error(1, 5, distinct_id="u1"))],
+        [envelope("a", flow("step", 7, workflow_name="other", distinct_id="u2", session_id="s"), flow("$workflow_cancel", 9, properties='{"reason": "late"}'), flow("$workflow_end", 8))],
+        [envelope("a", flow("$workflow_cancel", 2, properties='{"reason": "no"}'), flow("$workflow_start", 3, workflow_name="again", session_id="s2", distinct_id="u1"))],
+    ]
+    for every in (1, 2):
+        sink = ingest.Sink(f"{out}{every}", every=every)
+        for n, lines in enumerate(batches):
+            for _ in range(2 if every == 2 else 1):  # each batch twice
+                sink(spark.createDataFrame([(x,) for x in lines], "value string"), n)
+        w = ingest.runs(sink.state(spark, "workflows", 2)).first()
+        assert (w["name"], w.status, w.ended_at.second, w.cancel_reason, w.events_count, w.distinct_id, w.session_id) == ("buy", "completed", 8, None, 6, "u1", "s")
+        d = sink.state(spark, "devices", 2).first()
+        assert (d.device_key, d.events_count, d.errors_count, d.first_seen.second, d.last_seen.second, d.last_distinct_id) == ("d1", 6, 1, 1, 9, "u1")
+        people = {r.distinct_id: (r.events_count, r.errors_count, r.sessions_count) for r in sink.state(spark, "person_envs", 2).collect()}
+        assert people == {"u1": (2, 1, 2), "u2": (1, 0, 0)}  # s began with u1; u2 is in it later
+        assert [r.sessions_count for r in sink.state(spark, "device_envs", 2).collect()] == [2]
+        assert sink.state(spark, "issue_users", 2).select(F.hll_sketch_estimate("users")).first()[0] == 1
+        with pytest.raises(RuntimeError):
+            ingest.Sink(f"{out}-new", every=every)(spark.createDataFrame([(batches[0][0],)], "value string"), 1)
+
+
+def test_failed_batches_are_parked_and_tried_again(spark, tmp_path):
+    from lumenq.streaming import ingest
+
+    class Failing(ingest.Sink):
+        fails = 1
+
+        def process(self, lines, over, n):
+            if self.fails and not lines.isEmpty():
+                self.fails -= 1
+                raise TimeoutError("connection timed out")
+            super().process(lines, over, n)
+
+    now = [1000.0]
+    sink = Failing(str(tmp_path / "out"), clock=lambda: now[0])
+    line = lambda i: spark.createDataFrame([(envelope("a", error(i, i)),)], "value string")
+    sink(line(1), 0)
+    assert spark.read.parquet(sink.path + "/parked/batch=0").select("attempts", "due_us").first() == (1, 1030 * 10**6)
+    sink(line(2), 1)
+    assert sink.state(spark, "issues", 1).first().times_seen == 1
+    now[0] += 31
+    sink(line(3), 2)
+    assert sink.state(spark, "issues", 2).first().times_seen == 3 and spark.read.parquet(sink.path + "/parked/batch=2").count() == 0
+    sink.fails, n = 99, 3
+    sink(line(4), n)
+    for _ in range(5):
+        now[0], n = now[0] + 3600, n + 1
+        sink(line(4).limit(0), n)
+    assert [r.reason for r in spark.read.json(sink.path + f"/dead/batch={n}").collect()] == ["attempts"]
+    sink.fails = 0
+    with pytest.raises(ValueError):
+        type("Broken", (Failing,), {"process": lambda self, *a: (_ for _ in ()).throw(ValueError("no"))})(sink.path)(line(5), n + 1)
+
+
+def test_copies_at_one_time_leave_the_same_one(spark):
+    from lumenq.streaming import ingest
+
+    rows = [("00000000-0000-4000-8000-000000000001", T0, f"m{i}") for i in range(6)]
+    kept = {ingest.once(spark.createDataFrame(rows[k:] + rows[:k], "event_id string, occurred_at timestamp, message string").repartition(k + 1)).first().message for k in range(4)}
+    assert len(kept) == 1
+
+
 def test_masked_titles_are_sticky(spark):
     from lumenq.streaming import ingest
 
