@@ -92,13 +92,13 @@ def _sums(*names: str) -> list[Column]:
     return [F.sum(c).alias(c) for c in names]
 
 
-_EVENT, _ERROR = F.expr("type = 'event'"), F.expr("type = 'error'")
+_EVENT, _ERROR = "type = 'event'", "type = 'error'"
 _COUNTS = ("events_count", "errors_count")
 _DEVICE = ("family", "model", "os_name", "os_version", "arch", "browser")
 
 
 def _counted() -> list[Column]:
-    return [F.count_if(_EVENT).alias("events_count"), F.count_if(_ERROR).alias("errors_count")]
+    return [F.count_if(F.expr(_EVENT)).alias("events_count"), F.count_if(F.expr(_ERROR)).alias("errors_count")]
 
 
 def _seen() -> list[Column]:
@@ -132,7 +132,7 @@ def user_delta(errors: DataFrame) -> DataFrame:
 
 def session_delta(items: DataFrame) -> DataFrame:
     rows = items.filter("session_id <> ''")
-    return rows.groupBy("app_id", "session_id").agg(F.min("occurred_at").alias("started_at"), F.max("occurred_at").alias("last_event_at"), *_counted(), F.count_if(_ERROR & ~F.col("handled")).alias("unhandled_errors_count"), *map(_latest, ("device_key", "release", "distinct_id", "environment_id")))
+    return rows.groupBy("app_id", "session_id").agg(F.min("occurred_at").alias("started_at"), F.max("occurred_at").alias("last_event_at"), *_counted(), F.count_if(F.expr(_ERROR) & ~F.col("handled")).alias("unhandled_errors_count"), *map(_latest, ("device_key", "release", "distinct_id", "environment_id")))
 
 
 def fold_sessions(*parts: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ _FIRST = ("name", "session_id", "distinct_id", "device_key", "release", "environ
 def workflow_delta(items: DataFrame) -> DataFrame:
     """Runs, with the first end or cancellation among a batch's lifecycle events; ties in time go by name, then reason."""
     rows = items.filter("workflow_id <> ''").select("*", F.col("workflow_name").alias("_flow"))
-    ends = _EVENT & F.col("name").isin("$workflow_end", "$workflow_cancel")
+    ends = F.expr(_EVENT) & F.col("name").isin("$workflow_end", "$workflow_cancel")
     cancelled = F.col("name") == "$workflow_cancel"
     reason = F.when(cancelled, F.get_json_object("properties", "$.reason"))
     end = F.struct(F.when(cancelled, "cancelled").otherwise("completed").alias("status"), F.col("occurred_at").alias("ended_at"), reason.alias("cancel_reason"))
@@ -203,19 +203,22 @@ class Rollup:
     fold: Callable[..., DataFrame]
 
 
-def _adding(key: list[str], *aggs: Column) -> Callable[..., DataFrame]:
-    return lambda *parts: numbered(*parts).groupBy(*key).agg(*aggs)
+def _adding(key: list[str], aggs: Callable[[], list[Column]]) -> Callable[..., DataFrame]:
+    return lambda *parts: numbered(*parts).groupBy(*key).agg(*aggs())
+
+
+def _seen_sums(*sums: str) -> list[Column]:
+    return [*_bounds("first_seen", "last_seen"), *_sums(*sums)]
 
 
 _ENV = ("app_id", "environment_id")
-_ENV_AGGS = [*_bounds("first_seen", "last_seen"), *_sums(*_COUNTS, "sessions_count")]
 ROLLUPS = {
     "issues": Rollup(ISSUE_KEY, lambda rows, _: issue_delta(rows.filter(_ERROR)), fold_issues),
-    "issue_users": Rollup(ISSUE_KEY, lambda rows, _: user_delta(rows.filter(_ERROR)), _adding(ISSUE_KEY, F.hll_union_agg("users").alias("users"))),
+    "issue_users": Rollup(ISSUE_KEY, lambda rows, _: user_delta(rows.filter(_ERROR)), _adding(ISSUE_KEY, lambda: [F.hll_union_agg("users").alias("users")])),
     "sessions": Rollup(["app_id", "session_id"], lambda rows, _: session_delta(rows), fold_sessions),
-    "devices": Rollup(["app_id", "device_key"], lambda rows, _: device_delta(rows), _adding(["app_id", "device_key"], *_bounds("first_seen", "last_seen"), *_sums(*_COUNTS), *map(newest, (*_DEVICE, "last_distinct_id")))),
-    "person_envs": Rollup([*_ENV, "distinct_id"], lambda rows, new: env_delta(rows, "distinct_id", new), _adding([*_ENV, "distinct_id"], *_ENV_AGGS)),
-    "device_envs": Rollup([*_ENV, "device_key"], lambda rows, new: env_delta(rows, "device_key", new), _adding([*_ENV, "device_key"], *_ENV_AGGS)),
+    "devices": Rollup(["app_id", "device_key"], lambda rows, _: device_delta(rows), _adding(["app_id", "device_key"], lambda: [*_seen_sums(*_COUNTS), *map(newest, (*_DEVICE, "last_distinct_id"))])),
+    "person_envs": Rollup([*_ENV, "distinct_id"], lambda rows, new: env_delta(rows, "distinct_id", new), _adding([*_ENV, "distinct_id"], lambda: _seen_sums(*_COUNTS, "sessions_count"))),
+    "device_envs": Rollup([*_ENV, "device_key"], lambda rows, new: env_delta(rows, "device_key", new), _adding([*_ENV, "device_key"], lambda: _seen_sums(*_COUNTS, "sessions_count"))),
     "workflows": Rollup(WORKFLOW_KEY, lambda rows, _: workflow_delta(rows), fold_workflows),
 }
 
