@@ -137,3 +137,27 @@ def workflow_top_events(events: DataFrame, name: str, limit: int = 10, scope: Sc
     """The workflow's most frequent events; its own lifecycle events don't count."""
     e = scope.apply(events).filter((F.col("workflow_name") == name) & ~F.coalesce(F.col("name").startswith("$workflow"), F.lit(False)))
     return e.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(limit)
+
+
+def workflow_top_issues(errors: DataFrame, name: str, limit: int = 10, scope: Scope = ALL) -> DataFrame:
+    """(issue_id, n): the issues that most errors of the workflow belong to, ties by id."""
+    e = scope.apply(errors).filter((F.col("workflow_name") == name) & F.col("issue_id").isNotNull())
+    return e.groupBy("issue_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "issue_id").limit(limit)
+
+
+def workflow_spans(runs: DataFrame, scope: Scope = ALL) -> DataFrame:
+    """Runs of each session in the order they started, with their position from 1; ties by id."""
+    w = Window.partitionBy("app_id", "session_id").orderBy("started_at", "workflow_id")
+    return scope.apply(runs).filter("session_id <> ''").withColumn("position", F.row_number().over(w))
+
+
+def screen_recent(events: DataFrame, errors: DataFrame, start: dt.datetime, each: int = 20, scope: Scope = ALL) -> DataFrame:
+    """(screen, kind, place, id, occurred_at): the latest ``each`` events and exceptions of every screen, ties by id.
+
+    The limit of the window is applied on the map side too, so a screen with a third of all rows sends ``each`` of them
+    per task.
+    """
+    ev = since(scope.apply(events), start).filter("screen is not null and (name is null or name <> '$screen')").select("screen", F.lit("event").alias("kind"), "id", "occurred_at")
+    er = since(scope.apply(errors), start).filter("screen is not null").select("screen", F.lit("exception").alias("kind"), "id", "occurred_at")
+    w = Window.partitionBy("screen", "kind").orderBy(F.desc("occurred_at"), F.desc("id"))
+    return ev.unionByName(er).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= each)

@@ -46,3 +46,13 @@ def move_rollup(rollup: DataFrame, aliases: DataFrame, sums: list[str]) -> DataF
     key = [c for c in ("app_id", "distinct_id", "environment_id") if c in rollup.columns]
     aggs = [F.sum(c).alias(c) for c in sums] + [f(c).alias(c) for f, c in ((F.min, "first_seen"), (F.max, "last_seen")) if c in rollup.columns]
     return overlay(rollup, aliases).groupBy(*key).agg(*aggs)
+
+
+def rewrite(frames: dict[str, DataFrame], aliases: DataFrame) -> dict[str, DataFrame]:
+    """Every table that names a person, with aliased ids replaced for good: what a merge writes back.
+
+    One join per table; rows of apps without an alias pass through it unchanged. Tables are those given, by name
+    (events, errors, transactions, sessions, persons' environments), each with app_id and distinct_id.
+    """
+    flat = without_chains(aliases)
+    return {name: overlay(f, flat) for name, f in frames.items()}

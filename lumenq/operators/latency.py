@@ -1,4 +1,9 @@
-"""Transaction performance; percentiles are exact and interpolated."""
+"""Transaction performance. Percentiles are exact and interpolated, or, with ``k``, taken from a mergeable sketch.
+
+The exact ones hold each distinct value of a group in one buffer: right for groups of some millions of values. Beyond, a
+sketch of size ``k`` holds some k values a group and is combined on the map side; a rank is off by at most 2.296 / k^0.9723
+(0.35 % for 800) with 99 % probability, and not at all up to k values.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +20,13 @@ def failed() -> Column:
     return F.coalesce(F.col("status") == "error", F.lit(False)) | F.coalesce(F.col("http_status") >= 500, F.lit(False))
 
 
+def percentiles(value: str, at: list[float], k: int | None = None) -> Column:
+    """The aggregate of several percentiles, as an array."""
+    if k is None:
+        return F.percentile(value, at)
+    return F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double(F.col(value), F.lit(k)), F.array(*map(F.lit, at)))
+
+
 def _narrow(tx: DataFrame, start: dt.datetime, scope: Scope, op: str | None, name: str | None, device_key: str | None) -> DataFrame:
     rows = since(scope.apply(tx), start)
     for c, v in (("op", op), ("name", name), ("device_key", device_key)):
@@ -22,16 +34,16 @@ def _narrow(tx: DataFrame, start: dt.datetime, scope: Scope, op: str | None, nam
     return rows
 
 
-def performance_summary(tx: DataFrame, start: dt.datetime, scope: Scope = ALL, op: str | None = None, device_key: str | None = None) -> DataFrame:
+def performance_summary(tx: DataFrame, start: dt.datetime, scope: Scope = ALL, op: str | None = None, device_key: str | None = None, k: int | None = None) -> DataFrame:
     """Per (name, op): n, p50, p75, p95, p99, average and share of failed ones."""
-    p = F.percentile("duration_ms", [0.5, 0.75, 0.95, 0.99])
+    p = percentiles("duration_ms", [0.5, 0.75, 0.95, 0.99], k)
     g = _narrow(tx, start, scope, op, None, device_key).groupBy("name", "op").agg(F.count(F.lit(1)).alias("n"), p.alias("p"), F.round(F.avg("duration_ms"), 3).alias("avg_ms"), F.round(F.avg(failed().cast("int")), 6).alias("error_rate"))
     return g.select("name", "op", "n", *[F.round(F.col("p")[i], 6).alias(x) for i, x in enumerate(("p50", "p75", "p95", "p99"))], "avg_ms", "error_rate")
 
 
-def performance_series(tx: DataFrame, start: dt.datetime, scope: Scope = ALL, name: str | None = None, op: str | None = None) -> DataFrame:
+def performance_series(tx: DataFrame, start: dt.datetime, scope: Scope = ALL, name: str | None = None, op: str | None = None, k: int | None = None) -> DataFrame:
     """(day, p50, p95, throughput); the bucket is a UTC day."""
-    p = F.percentile("duration_ms", [0.5, 0.95])
+    p = percentiles("duration_ms", [0.5, 0.95], k)
     g = _narrow(tx, start, scope, op, name, None).groupBy(F.to_date("occurred_at").alias("day")).agg(p.alias("p"), F.count(F.lit(1)).alias("throughput"))
     return g.select("day", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p95"), "throughput")
 
@@ -39,8 +51,8 @@ def performance_series(tx: DataFrame, start: dt.datetime, scope: Scope = ALL, na
 METRICS = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
-def metric(name: str) -> Column:
+def metric(name: str, k: int | None = None) -> Column:
     """The aggregate of a named metric of duration_ms; unknown names mean p95."""
     if name in ("max", "avg"):
         return getattr(F, name)("duration_ms")
-    return F.percentile("duration_ms", METRICS.get(name, 0.95))
+    return percentiles("duration_ms", [METRICS.get(name, 0.95)], k)[0]

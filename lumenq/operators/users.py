@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from lumenq.operators.latency import percentiles
 from lumenq.operators.series import one_row, ratio, since
 from lumenq.query.errors import QueryError
 from lumenq.scope import ALL, Scope
@@ -80,10 +81,11 @@ def report_window(now: dt.datetime, days: int, apps: int, watermark: dt.date | N
     return (max(first, watermark) if watermark else first), last
 
 
-def session_stats(sessions: DataFrame, start: dt.datetime, scope: Scope = ALL) -> DataFrame:
-    """sessions, crashed (an unhandled error on the session's own row), average and median length in ms."""
+def session_stats(sessions: DataFrame, start: dt.datetime, scope: Scope = ALL, k: int | None = None) -> DataFrame:
+    """sessions, crashed (an unhandled error on the session's own row), average and median length in ms; with ``k`` the
+    median of a sketch (``latency.percentiles``), which is right for more sessions than one buffer holds lengths of."""
     s = duration_ms(since(scope.apply(sessions), start, "last_event_at"))
-    return s.agg(F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("unhandled_errors_count") > 0).alias("crashed"), F.round(F.avg("duration_ms"), 3).alias("avg_session_ms"), F.round(F.percentile("duration_ms", 0.5), 6).alias("median_session_ms"))
+    return s.agg(F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("unhandled_errors_count") > 0).alias("crashed"), F.round(F.avg("duration_ms"), 3).alias("avg_session_ms"), F.round(percentiles("duration_ms", [0.5], k)[0], 6).alias("median_session_ms"))
 
 
 def session_duration_series(sessions: DataFrame, start: dt.datetime, scope: Scope = ALL) -> DataFrame:

@@ -107,6 +107,7 @@ for _args in [
     ("filter_has", Resource.TRANSACTIONS, "has:http.status", _TX, "http_status is not null"),
     ("filter_json_path", Resource.EVENTS, "has:properties.step", _EV, "json_exists(properties, '$.step')"),
     ("filter_json_string", Resource.EVENTS, "properties.step:2", _EV, "json_type(properties, '$.step') = 'VARCHAR' and json_extract_string(properties, '$.step') = '2'"),
+    ("filter_json_equal", Resource.EVENTS, "properties.plan:[free,pro]", _EV, "json_type(properties, '$.plan') = 'VARCHAR' and json_extract_string(properties, '$.plan') in ('free', 'pro')"),
     ("filter_json_like", Resource.EVENTS, "properties.cart_value:9*", _EV, "json_extract_string(properties, '$.cart_value') ilike '9%'"),
     ("filter_json_not", Resource.EVENTS, "!has:properties.step", _EV, "not coalesce(json_exists(properties, '$.step'), false)"),
     ("filter_tag", Resource.EVENTS, "tag.tier:team", _EV, "tags['tier'] = 'team'"),
@@ -120,6 +121,9 @@ for _args in [
     ("filter_handled_not", Resource.OCCURRENCES, "!handled:true", _ER, "handled is distinct from true"),
     ("filter_stack", Resource.OCCURRENCES, "stack.function:merge", _ER, "len(list_filter(stacktrace, lambda f: f.function = 'merge')) > 0"),
     ("filter_text", Resource.OCCURRENCES, '"timed out"', _ER, "(message ilike '%timed out%' or exception_type ilike '%timed out%' or exception_value ilike '%timed out%')"),
+    ("filter_text_events", Resource.EVENTS, "cart", _EV, "(coalesce(name ilike '%cart%', false) or coalesce(distinct_id ilike '%cart%', false) or coalesce(properties ilike '%cart%', false) or coalesce(cast(to_json(tags) as varchar) ilike '%cart%', false))"),
+    ("filter_release", Resource.OCCURRENCES, "release:~2.1 !level:[error,fatal]", _ER, "release ilike '%2.1%' and (level is null or level not in ('error', 'fatal'))"),
+    ("filter_message", Resource.OCCURRENCES, "message:*timed* OR session:~a", _ER, "(message ilike '%timed%' or session_id ilike '%a%')"),
     ("filter_text_not", Resource.OCCURRENCES, '!"timed out"', _ER, "not (coalesce(message ilike '%timed out%', false) or coalesce(exception_type ilike '%timed out%', false) or coalesce(exception_value ilike '%timed out%', false))"),
     ("filter_workflow", Resource.EVENTS, "workflow:cart", _EV, "workflow_name = 'cart'"),
     ("filter_workflow_not", Resource.EVENTS, "!workflow:cart", _EV, "workflow_name is distinct from 'cart'"),
@@ -282,8 +286,10 @@ def crash_free(spark, d):
     return series.overview_rates(_totals(spark, d))
 
 
-_ENV_STATS = """select issue_id, i.app_id, i.title, i.status, coalesce(s.level, i.level) as level, coalesce(s.exception_type, i.type) as type, s.times_seen, s.users_seen, s.first_seen, s.last_seen from
- (select issue_id, count(*) as times_seen, count(distinct nullif(distinct_id, '')) as users_seen, min(occurred_at) as first_seen, max(occurred_at) as last_seen, arg_max_null(level, (occurred_at, er.id)) as level, arg_max_null(exception_type, (occurred_at, er.id)) as exception_type from er where issue_id is not null {} group by issue_id) s join issues i on i.id = s.issue_id"""
+_ENV_STATS = """select issue_id, i.app_id, coalesce(s.title, i.title) as title, coalesce(s.culprit, i.culprit) as culprit, i.status, coalesce(s.level, i.level) as level, coalesce(s.exception_type, i.type) as type, s.times_seen, s.users_seen, s.first_seen, s.last_seen from
+ (select issue_id, count(*) as times_seen, count(distinct nullif(distinct_id, '')) as users_seen, min(occurred_at) as first_seen, max(occurred_at) as last_seen, arg_max_null(level, (occurred_at, er.id)) as level, arg_max_null(exception_type, (occurred_at, er.id)) as exception_type,
+  arg_max_null(coalesce(nullif(concat_ws(': ', nullif(exception_type, ''), nullif(exception_value, '')), ''), message), (occurred_at, er.id)) as title, arg_max_null(culprit, (occurred_at, er.id)) as culprit
+  from (select *, case when frame is null then null when frame.filename is null then coalesce(frame.function, '?') else coalesce(frame.function, '?') || ' (' || frame.filename || coalesce(':' || frame.lineno, '') || ')' end as culprit from (select *, coalesce(list_filter(stacktrace, lambda f: f.in_app)[-1], stacktrace[-1]) as frame from er)) er where issue_id is not null {} group by issue_id) s join issues i on i.id = s.issue_id"""
 
 
 @query(_ENV_STATS.format(""))
@@ -296,6 +302,11 @@ def issue_stats(spark, d):
     return iss.issue_stats(views.issues(spark, d))
 
 
+@query("select count(*) as total, " + ", ".join([f"count(*) filter (status = '{s}') as {s}" for s in ("unresolved", "resolved", "ignored")] + [f"count(*) filter (level = '{x}') as {x}" for x in ("fatal", "error", "warning", "info")]) + f" from ({_ENV_STATS.format('and er.environment_id is null')})")
+def issue_stats_scoped(spark, d):
+    return iss.issue_stats_scoped(views.issues(spark, d), views.occurrences(spark, d), Scope(env=Env("unattributed")))
+
+
 @query("select id, times_seen from issues order by times_seen desc, id limit 10")
 def top_issues(spark, d):
     return iss.top_issues(views.issues(spark, d), 10).select("id", "times_seen")
@@ -432,6 +443,18 @@ def workflow_top_events(spark, d):
     return behaviour.workflow_top_events(views.events(spark, d), "cart")
 
 
+@query("select app_id, session_id, workflow_id, cast(row_number() over (partition by app_id, session_id order by started_at, workflow_id) as int) as position, started_at from (select *, left(workflow_id, length(workflow_id) - length(name) - 1) as session_id from wf)")
+def workflow_spans(spark, d):
+    """The runs of every session, in order."""
+    return behaviour.workflow_spans(views.workflows(spark, d)).select("app_id", "session_id", "workflow_id", "position", "started_at")
+
+
+@query(f"select screen, kind, cast(place as int) as place, id, occurred_at from (select *, row_number() over (partition by screen, kind order by occurred_at desc, id desc) as place from (select screen, 'event' as kind, id, occurred_at from ev where occurred_at >= {_S} and screen is not null and (name is null or name <> '$screen') union all select screen, 'exception', id, occurred_at from er0 where occurred_at >= {_S} and screen is not null)) where place <= 20")
+def screen_recent(spark, d):
+    """The latest events and exceptions of every screen."""
+    return behaviour.screen_recent(views.events(spark, d), views.bare_occurrences(spark, d), SINCE)
+
+
 # ---- latency
 
 _FAILED = "(coalesce(status = 'error', false) or coalesce(http_status >= 500, false))"
@@ -542,6 +565,18 @@ def identity_rollup_move(spark, d):
     return identity.move_rollup(p, _aliases(spark, d), ["events_count"])
 
 
+@query(" union all ".join(f"select '{k}' as source, t.app_id, coalesce(a.distinct_id, t.distinct_id) as distinct_id, count(*) as n from {t} t left join {_ALIASES} a on a.app_id = t.app_id and a.alias_id = t.distinct_id group by all" for k, t in (("events", "ev"), ("errors", "er0"), ("transactions", "tx"), ("sessions", "se"), ("persons", "pe"))))
+def identity_rewrite(spark, d):
+    """Rows by person in each of five tables after their ids are rewritten."""
+    frames = {"events": views.events, "errors": views.bare_occurrences, "transactions": views.transactions, "sessions": views.sessions, "persons": views.persons}
+    done = identity.rewrite({k: f(spark, d).select("app_id", "distinct_id") for k, f in frames.items()}, _aliases(spark, d))
+    out = None
+    for k, f in done.items():
+        part = f.groupBy("app_id", "distinct_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("source"), "app_id", "distinct_id", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("select distinct_id, count(*) as n, min(occurred_at) as first, max(occurred_at) as last from ev where distinct_id in (select distinct_id from er0) group by all")
 def counts_by_key(spark, d):
     return tier.counts_by_key(views.events(spark, d), "distinct_id", views.bare_occurrences(spark, d))
@@ -629,7 +664,33 @@ def latency_alert(spark, d):
 
 # ---- what SQL can't express, or only at length
 
-@query()
+def _mask(c: str) -> str:
+    """Words that are UUIDs or addresses, and digits. Neighbouring words share a space, hence each pattern twice."""
+    h = "[0-9a-fA-F]"
+    for pattern, name in ((f"[\"'',.]*{h}{{8}}-{h}{{4}}-{h}{{4}}-{h}{{4}}-{h}{{12}}[\"'',.]*", "uuid"), (f"0x{h}+", "addr")):
+        for _ in range(2):
+            c = f"regexp_replace({c}, '(^|\\s){pattern}(\\s|$)', '\\1{{{name}}}\\2', 'g')"
+    return f"regexp_replace({c}, '[0-9]+', '{{n}}', 'g')"
+
+
+def _message(c: str) -> str:
+    return f"trim(regexp_replace({_mask(f'lower({c})')}, '\\s+', ' ', 'g'))"
+
+
+_BASE = "trim(regexp_extract(regexp_extract(f.filename, '^([^?#]*)', 1), '([^/\\\\]*)$', 1))"
+_KEPT = f"list_filter(string_split({_BASE}, '.'), lambda p: not (regexp_full_match(p, '[0-9a-fA-F]{{6,40}}') and regexp_matches(p, '[0-9]')))"
+_FILE = _mask(f"case when len(string_split({_BASE}, '.')) >= 3 and len({_KEPT}) >= 2 then array_to_string({_KEPT}, '.') else {_BASE} end")
+_FRAME = f"case when coalesce(f.module, '') <> '' and coalesce(f.function, '') <> '' then {_mask('trim(f.module)')} || '::' || {_mask('trim(f.function)')} when coalesce(f.function, '') <> '' then {_mask('trim(f.function)')} when f.filename is not null then {_FILE} else '?' end"
+_OWN = "list_filter(exception.stacktrace, lambda f: coalesce(f.in_app, false))"
+_POOL = f"case when len({_OWN}) > 0 then {_OWN} else exception.stacktrace end"
+_TYPE = _mask("trim(split_part(exception.type, '(', 1))")
+_FINGERPRINT = f"""select delivery_id, sha256(case when len(fingerprint) > 0 then array_to_string(list_transform(fingerprint, lambda x: coalesce(x, '')), chr(10)) when exception.type is null then 'message' || chr(10) || {_message("coalesce(message, 'unknown')")}
+ when len(exception.stacktrace) > 0 then {_TYPE} || chr(10) || array_to_string(list_transform(list_reverse({_POOL})[1:5], lambda f: {_FRAME}), chr(10)) else {_TYPE} || chr(10) || {_message("coalesce(exception.value, message, '')")} end) as fingerprint,
+ case when frame is null then '' when frame.filename is null then coalesce(frame.function, '?') else coalesce(frame.function, '?') || ' (' || frame.filename || coalesce(':' || frame.lineno, '') || ')' end as culprit
+ from (select *, coalesce({_OWN}[-1], exception.stacktrace[-1]) as frame from node where type = 'error')"""
+
+
+@query(_FINGERPRINT, cte=False)
 def fingerprint(spark, d):
     """Fingerprint and culprit of every error row of node."""
     n = table(spark, d, "node").filter("type = 'error'")

@@ -133,9 +133,9 @@ def workflows(spark: SparkSession, d: str) -> DataFrame:
     """Runs: started, ended by x_closed or x_completed (finished) or x_failed (failed), else active."""
     e = events(spark, d).filter("workflow_id is not null")
     done, failed = F.col("name").rlike("_(closed|completed)$"), F.col("name").rlike("_failed$")
-    r = e.groupBy("app_id", "workflow_id", F.col("workflow_name").alias("name")).agg(F.min("occurred_at").alias("started_at"), F.max("occurred_at").alias("last_event_at"), F.max(F.when(done, F.col("occurred_at"))).alias("finished_at"), F.max(F.when(failed, F.col("occurred_at"))).alias("failed_at"), F.max_by("distinct_id", F.struct("occurred_at", "id")).alias("distinct_id"), F.max_by("environment_id", F.struct("occurred_at", "id")).alias("environment_id"))
+    r = e.groupBy("app_id", "workflow_id", "session_id", F.col("workflow_name").alias("name")).agg(F.min("occurred_at").alias("started_at"), F.max("occurred_at").alias("last_event_at"), F.max(F.when(done, F.col("occurred_at"))).alias("finished_at"), F.max(F.when(failed, F.col("occurred_at"))).alias("failed_at"), F.max_by("distinct_id", F.struct("occurred_at", "id")).alias("distinct_id"), F.max_by("environment_id", F.struct("occurred_at", "id")).alias("environment_id"))
     status = F.when(F.col("finished_at").isNotNull(), "finished").when(F.col("failed_at").isNotNull(), "failed").otherwise("active")
-    return r.select("app_id", "workflow_id", "name", "distinct_id", "environment_id", "started_at", "last_event_at", status.alias("status"), F.coalesce("finished_at", "failed_at").alias("ended_at"))
+    return r.select("app_id", "workflow_id", "session_id", "name", "distinct_id", "environment_id", "started_at", "last_event_at", status.alias("status"), F.coalesce("finished_at", "failed_at").alias("ended_at"))
 
 
 def monitor_checks(spark: SparkSession, d: str) -> DataFrame:

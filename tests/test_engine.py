@@ -10,7 +10,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from lumenq.functions import fingerprint as fp
-from lumenq.operators import alerts, behaviour, identity, monitors, pii, purge, symbols, users
+from lumenq.operators import alerts, behaviour, identity, latency, monitors, pii, purge, symbols, users
 from lumenq.plans import paging, search, tier as tplan, window
 from lumenq.plans.prepare import Clamp
 from lumenq.query import QueryError, Resource, parse
@@ -369,6 +369,21 @@ def test_spikes(spark):
 
 # ---- behaviour
 
+def test_issues_of_a_workflow(spark):
+    rows = [("x", "buy", i) for i in ("a", "b", "b", None)] + [("x", "sell", "a")]
+    df = spark.createDataFrame(rows, "app_id string, workflow_name string, issue_id string").withColumn("environment_id", F.lit(None).cast("string"))
+    assert [tuple(r) for r in behaviour.workflow_top_issues(df, "buy").collect()] == [("b", 2), ("a", 1)]
+    assert behaviour.workflow_top_issues(df, "buy", 1).count() == 1
+
+
+def test_percentiles_by_sketch_are_exact_for_few_values_and_close_for_many(spark):
+    df = spark.range(20_000).select(F.lit("a").alias("app_id"), F.lit(None).cast("string").alias("environment_id"), F.lit("n").alias("name"), F.lit("http").alias("op"), F.col("id").cast("double").alias("duration_ms"), F.lit("ok").alias("status"), F.lit(200).alias("http_status"), F.lit(T0).alias("occurred_at"))
+    for rows, off in ((df.filter("id < 500"), 1), (df, 20_000 * 3 * 2.296 / 800**0.9723)):
+        a, b = (latency.performance_summary(rows, T0 - D, k=k).first() for k in (None, 800))
+        assert all(abs(a[c] - b[c]) <= off for c in ("p50", "p75", "p95", "p99")) and a.n == b.n
+
+
+
 def test_funnel_equal_times_repeated_steps_and_order(spark):
     rows = [(1, "a", "s1", 0), (2, "a", "s2", 0), (3, "a", "s1", 5), (4, "b", "s2", 0), (5, "b", "s1", 1), (6, "c", "s1", 9), (7, None, "s1", 1), (8, "", "s1", 1)]
     df = spark.createDataFrame([(i, "x", None, w, n, T0 + t * H) for i, w, n, t in rows], "id int, app_id string, environment_id string, distinct_id string, name string, occurred_at timestamp")
