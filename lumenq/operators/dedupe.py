@@ -34,17 +34,39 @@ def removed_deliveries(df: DataFrame, ident: Column, received: str = "received_a
     return df.filter(ident.isNotNull() if valid is None else valid).select(key).join(first, key, "left_anti")
 
 
+BITS = 1 << 26  # of a filter: 8 MB, whatever is filtered
+_BLOCK = 1 << 15  # bits of one of Spark's bitmaps
+
+
+def _place(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(BITS))
+
+
+def _bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """(block, bits): a filter of BITS bits, one for the hash of each key; at most BITS / 2^15 rows of 4 KB."""
+    at = keys.select(_place(key).alias("p"))
+    return at.groupBy(F.floor(F.col("p") / _BLOCK).alias("block")).agg(F.bitmap_construct_agg(F.pmod("p", F.lit(_BLOCK))).alias("bits"))
+
+
 def keep_first(df: DataFrame, ident: Column, received: str = "received_at", key: str = "delivery_id", valid: Column | None = None) -> DataFrame:
     """``df`` with exactly one row per identifier: the first by (received, key); rows without identifier all stay.
 
-    Keys of the removed rows are found first, from identifiers and keys alone, and written; whole rows then meet only
-    these, so no row is carried in an aggregate. Spark sends the keys to all tasks if the written table is small enough for
-    that, and else joins on the key. ``key`` is unique per delivery: of rows that repeat a key one stays. Columns may have
-    any name and type. An empty table gives an empty table.
+    Keys of the removed rows are found first, from identifiers and keys alone, and written. Whole rows stay where they
+    are if a bitmap of fixed size, sent to every task, says that their key is none of these; only the others, the removed
+    ones and those that share a bit with one, are shuffled and joined with the keys. With very many keys the bitmap fills
+    up and more rows take that way; the result is the same.
+
+    ``key`` is a bigint, unique per delivery: of rows that repeat a key one stays. Columns may have any name and type. An
+    empty table gives an empty table.
     """
     gone = written(removed_deliveries(df, ident, received, key, valid), "removed")
-    kept = df.join(gone, key, "left_anti")
     again = written(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key), "repeated")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key])).select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("k"), _place(key).alias("p"))
+    rows = rows.join(F.broadcast(_bitmap(gone.union(again), key)), F.floor(F.col("p") / _BLOCK) == F.col("block"), "left")
+    q = F.pmod("p", F.lit(_BLOCK)).cast("int")
+    byte = F.conv(F.hex(F.substr("bits", F.floor(q / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.bit_get(byte, F.pmod(q, F.lit(8))) == 1, F.lit(False))
+    maybe = rows.filter(hit).select("row", "k").join(gone.select(F.col(key).alias("k")), "k", "left_anti")
+    if not again.isEmpty():
+        maybe = maybe.dropDuplicates(["k"])
+    return rows.filter(~hit).select("row.*").unionByName(maybe.select("row.*"))

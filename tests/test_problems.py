@@ -319,3 +319,14 @@ def test_feature_table_expands_every_type(spark, table):
     assert features.feature_table(df.limit(0), ["app_id", "distinct_id"], "name").count() == 0
     with pytest.raises(ValueError):
         features.type_list(df, "name", limit=2)
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 1 << 15])
+def test_a_full_bitmap_keeps_the_same_rows(spark, table, bits, monkeypatch):
+    monkeypatch.setattr(dedupe, "BITS", bits)
+    odd = table.withColumns({c: F.lit("clash") for c in ("row", "k", "p", "block", "bits")})
+    many = odd.unionByName(odd.withColumn("delivery_id", F.col("delivery_id") + 10_000).withColumn("event_id", F.lit("x"))).unionByName(odd.filter("delivery_id < 40"))
+    kept = dedupe.keep_first(many, uuid_key("event_id"))
+    assert kept.columns == many.columns
+    want = sorted(brute_first(rows_of()) | {r[0] + 10_000 for r in rows_of()})
+    assert sorted(r.delivery_id for r in kept.collect()) == want
