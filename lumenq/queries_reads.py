@@ -502,7 +502,8 @@ def person_env_rollup(spark, d):
 
 @query("select app_id, session_id, started_at, last_event_at, environment_id, distinct_id, device_key, events_count, errors_count, unhandled_errors_count from se")
 def sessions_rollup(spark, d):
-    return views.sessions(spark, d)
+    """Built anew, not read."""
+    return views.session_rollup(spark, d)
 
 
 @query("select issue_id, abs(n - users) <= greatest(1, 0.05 * n) as close from (select 1 as issue_id, 1 as n, 1 as users) where false union all select issue_id, true from (select issue_id from er where issue_id is not null and distinct_id <> '' group by issue_id)")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -30,7 +32,9 @@ def get_session(app: str = "lumenq", master: str | None = None, **conf: str) ->
 
 @functools.cache
 def _local_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="lumenq-")
+    path = tempfile.mkdtemp(prefix="lumenq-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

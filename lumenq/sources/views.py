@@ -8,10 +8,12 @@ HTTP transactions of a route; store figures are the orders of a day. ``NOW`` is
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenq.functions.ids import blank_to_null
+from lumenq.session import written
 from lumenq.sources.tables import table
 
 NOW = dt.datetime(2023, 1, 16, tzinfo=dt.timezone.utc)
@@ -106,7 +108,38 @@ def activity(spark: SparkSession, d: str) -> DataFrame:
     return ev.unionByName(er).unionByName(tx)
 
 
+_ROLLED: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
+
+
+def _stamp(spark: SparkSession, d: str) -> tuple:
+    """Size and time of the tables that rollups are made of."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    out = []
+    for t in ("js", "node", "flutter"):
+        p = fs.Path(f"{d}/{t}.parquet")
+        f = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        out.append((f.getContentSummary(p).getLength(), f.getFileStatus(p).getModificationTime()))
+    return tuple(out)
+
+
+def rolled(spark: SparkSession, d: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A rollup as a table of its own, as ingestion keeps it: written when it is first read, and again when a table below
+    it has changed."""
+    key, stamp = (spark.sparkContext.applicationId, d, build.__name__), _stamp(spark, d)
+    if key not in _ROLLED or _ROLLED[key][0] != stamp:
+        _ROLLED[key] = stamp, written(build(spark, d), build.__name__)
+    return _ROLLED[key][1]
+
+
 def sessions(spark: SparkSession, d: str) -> DataFrame:
+    return rolled(spark, d, session_rollup)
+
+
+def persons(spark: SparkSession, d: str) -> DataFrame:
+    return rolled(spark, d, person_rollup)
+
+
+def session_rollup(spark: SparkSession, d: str) -> DataFrame:
     """One row per app and client session id."""
     last = F.struct("occurred_at", "id")
     a = activity(spark, d).withColumn("session_id", blank_to_null("session_id")).filter("session_id is not null")
@@ -116,7 +149,7 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def persons(spark: SparkSession, d: str) -> DataFrame:
+def person_rollup(spark: SparkSession, d: str) -> DataFrame:
     """One row per app and distinct id; identified_at and properties (traits, the latest) from identify items."""
     a = activity(spark, d).filter("distinct_id <> ''").groupBy("app_id", "distinct_id").agg(F.min("occurred_at").alias("first_seen"), F.max("occurred_at").alias("last_seen"), F.sum("is_event").alias("events_count"), F.sum("is_error").alias("errors_count"), F.count_distinct(blank_to_null("session_id")).alias("sessions_count"))
     known = table(spark, d, "js").filter("type = 'identify' and distinct_id <> ''").groupBy("app_id", "distinct_id").agg(F.min("timestamp").alias("identified_at"), F.max_by("properties", F.when(F.col("properties").isNotNull(), F.struct("timestamp", "delivery_id"))).alias("properties"))
