@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
+from lumenq.operators.symbols import hydrate
 from lumenq.plans import lower, paging, prepare, window
 from lumenq.query import Resource, from_legacy, parse, resolve
 from lumenq.query.tree import Node, from_json
@@ -33,13 +34,16 @@ def tree(query: str | dict | None = None, filters: Iterable[str] = (), q: str |
     return parse(query) if query is not None else from_legacy(filters, q)
 
 
-def rows(df: DataFrame, resource: Resource, node: Node, now: dt.datetime, days: int = 30, scope: Scope = ALL, environments: DataFrame | None = None, occurrences: DataFrame | None = None, body: bool = True, most: int = 365) -> tuple[DataFrame, window.Window]:
-    """All rows that pass within scope and window, and the window that was used."""
+def rows(df: DataFrame, resource: Resource, node: Node, now: dt.datetime, days: int = 30, scope: Scope = ALL, environments: DataFrame | None = None, occurrences: DataFrame | None = None, body: bool = True, most: int = 365, blobs: DataFrame | None = None) -> tuple[DataFrame, window.Window]:
+    """All rows that pass within scope and window, and the window that was used. ``blobs``: the pool of stack traces, for
+    rows that have only the key of theirs; it is joined if the search asks for stacks."""
     p = prepare.prepare(resolve(node, resource), resource, now, environments, scope, body)
     w = window.last_days(TIME[resource], now, days, most, p.clamp)
     base = w.apply(scope.apply(df))
     if resource is Resource.EVENTS:
         base = base.filter("name is null or name <> '$screen'")  # the list leaves screen views to the screens' reports
+    if blobs is not None and any(t.field.column == "stacktrace" for t in prepare.tests(p.node)):
+        base = hydrate(base, blobs)
     found = lower.apply(base, p.node, resource, p.context, occurrences, scope, w.start)
     if not body and resource is not Resource.ISSUES:
         found = found.drop(*[c for c in found.columns if c in lower.BODY])

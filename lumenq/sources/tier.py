@@ -137,24 +137,30 @@ def restore(spark: SparkSession, path: str, live_schema, wanted: Range, pin: str
     return read(spark, path, live_schema, [wanted]).withColumn("restore_pin", F.lit(pin))
 
 
-def cycle(spark: SparkSession, hot: DataFrame, path: str, ranges: list[Range], watermark: dt.datetime) -> tuple[dt.datetime, list[Range]]:
+def cycle(spark: SparkSession, hot: DataFrame, path: str, ranges: list[Range], watermark: dt.datetime, now: dt.datetime | None = None, keep: dt.timedelta = dt.timedelta(0), lag: dt.timedelta = dt.timedelta(0), pinned: Iterable[Range] = ()) -> tuple[dt.datetime, list[Range]]:
     """Export ranges oldest first and verify each; (new watermark, ranges that may be dropped from the hot tier).
 
-    An append isn't repeatable, so a range that already has cold rows must match the hot count, and is not exported
-    again. The first range that doesn't verify ends the cycle. Only ranges below the watermark as it was before the
-    cycle may be dropped.
+    Ranges that end within ``keep`` of ``now`` stay hot. An append isn't repeatable, so a range that already has cold rows
+    must match the hot count, and is not exported again; the first that doesn't ends the cycle, so the watermark never
+    skips one. Dropped may be what lay below the watermark before the cycle (a range is in both tiers for a cycle at
+    least), ended ``lag`` ago, is not pinned by a restore, and has not grown by late rows since its export. Folders
+    of ranges to come need no making.
     """
-    before = watermark
+    before, pinned = watermark, list(pinned)
     drop = []
     for r in sorted(ranges):
+        if now is not None and r[1] > now - keep:
+            continue
         want = _within(hot, [r]).count()
         have = read(spark, path, hot.schema, [r]).count()
         if have == 0 and want:
             export(hot, path, [r])
             have = read(spark, path, hot.schema, [r]).count()
         if have != want:
+            if r[1] <= before and want > have:
+                continue  # grown: its late rows are nowhere else
             break
         watermark = max(watermark, r[1])
-        if r[1] <= before:
+        if r[1] <= before and (now is None or now - r[1] >= lag) and not any(a < r[1] and r[0] < b for a, b in pinned):
             drop.append(r)
     return watermark, drop

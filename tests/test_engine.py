@@ -75,6 +75,29 @@ def test_cycle_exports_once_verifies_and_prunes(spark):
         tier.across(spark, hot, path, wm, T0, T0 + 500 * D)
 
 
+def test_cycle_keeps_what_is_recent_pinned_or_grown(spark):
+    rows = [(i, f"app{i % 2}", T0 + i * 6 * H) for i in range(160)]
+    hot = spark.createDataFrame(rows, "id bigint, app_id string, occurred_at timestamp")
+    path = shared_dir(spark, "cold-guards")
+    ranges = [(T0 + 10 * D * k, T0 + 10 * D * (k + 1)) for k in range(4)]
+    now = T0 + 42 * D
+    wm, drop = tier.cycle(spark, hot, path, ranges, T0, now, keep=5 * D)
+    assert wm == T0 + 30 * D and drop == []  # the last range ended two days ago
+    assert tier.cycle(spark, hot, path, ranges, wm, now, keep=5 * D, lag=20 * D) == (wm, ranges[:2])
+    assert tier.cycle(spark, hot, path, ranges, wm, now, keep=5 * D, pinned=[(T0 + 12 * D, T0 + 13 * D)])[1] == [ranges[0], ranges[2]]
+    grown = hot.unionByName(spark.createDataFrame([(999, "app0", T0 + D)], hot.schema))
+    assert tier.cycle(spark, grown, path, ranges, wm, now, keep=5 * D) == (wm, ranges[1:3])
+
+
+def test_stack_searches_reach_pooled_traces(spark):
+    frame = "array<struct<function:string,module:string,filename:string,lineno:int,in_app:boolean>>"
+    df = spark.createDataFrame([(1, "a", None, T0, [("merge", None, "m.js", 1, True)]), (2, "a", None, T0, [("other", None, "m.js", 1, True)]), (3, "a", None, T0, None)], f"id bigint, app_id string, environment_id string, occurred_at timestamp, stacktrace {frame}")
+    rows, blobs = symbols.pool(df)
+    for q, want in (("stack.function:merge", [1]), ("!stack.function:merge", [2, 3]), ("has:stack", [1, 2])):
+        got, _ = search.rows(rows, Resource.OCCURRENCES, parse(q), T0 + H, blobs=blobs)
+        assert sorted(r.id for r in got.collect()) == want
+
+
 def T_schema(df):
     return df.withColumn("extra", F.lit(None).cast("string")).schema
 
