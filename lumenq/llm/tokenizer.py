@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TOKENIZERS = "/opt/tokenizers"
 CHUNK = 1_000_000  # code points taken through the arrays at once
@@ -284,9 +285,15 @@ def chunks(texts: list[str], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def _encoder(path: str, want: str):
+def shipped(spark: SparkSession, path: str) -> str:
+    """The vocabulary sent along with the job, so that executors need no copy of their own; returns its name there."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def _encoder(name: str, want: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = merger(path)
+        m = merger(SparkFiles.get(name))
         for b in batches:
             keys = b.column(0)
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -307,7 +314,7 @@ def _encoder(path: str, want: str):
 def _map(df: DataFrame, key: str, text: str, path: str, want: str, cols: list[tuple[str, str]]) -> DataFrame:
     rows = df.select(F.col(key).alias("c0"), F.col(text).alias("c1"))
     kind = rows.schema[0].dataType.simpleString()
-    out = rows.mapInArrow(_encoder(path, want), ", ".join([f"c0 {kind}", *(f"c{i + 1} {t}" for i, (_, t) in enumerate(cols))]))
+    out = rows.mapInArrow(_encoder(shipped(df.sparkSession, path), want), ", ".join([f"c0 {kind}", *(f"c{i + 1} {t}" for i, (_, t) in enumerate(cols))]))
     return out.select(F.col("c0").alias(key), *[F.col(f"c{i + 1}").alias(n) for i, (n, _) in enumerate(cols)])
 
 
@@ -322,10 +329,10 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
 
 def decoded(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
     """(key, text): the text of each row's ids; the empty text for null and empty lists."""
-    path = path or vocabulary()
+    name = shipped(df.sparkSession, path or vocabulary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = merger(path)
+        m = merger(SparkFiles.get(name))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["c0", "text"])
 
